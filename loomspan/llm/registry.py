@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op4_sharding": sharding.op4_sharding,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.OP1_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
