@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, sharding
+from . import decontamination, exact_dedup, sharding, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op4_sharding": sharding.op4_sharding,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
@@ -20,5 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.OP1_SQL,
+        "op5_url_filter": url_filter.OP5_SQL,
+        "op8_warc": warc.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
