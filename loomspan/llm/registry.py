@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, sharding, url_filter, warc
+from . import decontamination, exact_dedup, quality, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
         "op5_url_filter": url_filter.op5_url_filter,
         "op8_warc": warc.op8_warc,
