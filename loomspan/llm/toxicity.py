@@ -28,7 +28,7 @@ from .base import held_out, pieces, utf8
 from .decontamination import words_of
 from .labelled import class_totals, labelled_sample, prior_shift
 
-BITS, PER_CLASS, EPOCHS = 20, 4000, 4
+BITS, PER_CLASS, EPOCHS = 20, 4000, 3
 CACHE_WORDS, STEM = 300_000, 4
 
 
@@ -65,7 +65,7 @@ class FtrlModel:
         return w
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, int]], *, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, shift: float = 0.0) -> FtrlModel:
+def train_ftrl(rows: list[tuple[np.ndarray, int]], *, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, shift: float = 0.0) -> FtrlModel:
     """``rows``: distinct feature indices and the label, in the order of training."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
