@@ -119,3 +119,22 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, rows: int = 512, limi
             total += n
         if len(lengths) > start:
             yield batch.slice(start)
+
+
+class Memo(dict):
+    """A function's results, remembered in two generations of at most ``limit`` keys: memory is bounded, and what is
+    used again survives."""
+
+    def __init__(self, compute, limit: int = 250_000):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value

@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import held_out, pieces, utf8
+from .base import Memo, held_out, pieces, utf8
 from .labelled import class_totals, labelled_sample, prior_shift
 
 BITS, DIM, MIN_GRAM, MAX_GRAM, PER_CLASS, EPOCHS, RATE = 16, 8, 2, 4, 2000, 6, 2.0
-CACHE_WORDS = 300_000
 #: A word longer than this takes its n-grams from a window of that many bytes at each end, beside its own hash.
 LONG_WORD = 64
 #: No text has this word: words have no white space.
@@ -62,21 +61,18 @@ class QualityModel:
     bias: float
 
 
-class WordLogits(dict):
-    def __init__(self, fold: np.ndarray):
-        super().__init__()
-        self.fold = fold.tolist()
+def word_logits(folded: np.ndarray) -> Memo:
+    """word -> its share of a document's logit."""
+    fold = folded.tolist()
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def compute(word: bytes) -> float:
         b = buckets_of(word)
-        fold = self.fold
-        x = self[word] = sum([fold[i] for i in b]) / len(b)
-        return x
+        return sum([fold[i] for i in b]) / len(b)
 
+    return Memo(compute)
 
-def document_features(text: bytes, memo: dict[bytes, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+
+def document_features(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares, which add up to one."""
     tokens = text.split()
     words = Counter(tokens)
@@ -86,11 +82,7 @@ def document_features(text: bytes, memo: dict[bytes, list[int]]) -> tuple[np.nda
     idx: list[int] = []
     share: list[float] = []
     for w, c in words.items():
-        b = memo.get(w)
-        if b is None:
-            if len(memo) >= CACHE_WORDS:
-                memo.clear()
-            b = memo[w] = buckets_of(w)
+        b = memo[w]
         idx += b
         share += [c / total / len(b)] * len(b)
     if not idx:
@@ -129,7 +121,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", i
     """Learn from at most ``2 * per_class`` documents outside the held-out fold."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, list[int]] = {}
+        memo = Memo(buckets_of, 50_000)
         for batch in pieces(batches, "body"):
             both = [document_features(t, memo) for t in utf8(batch.column("body"))]
             arrays = [batch.column("order"), batch.column("y"), pa.array([i.astype(np.uint16).tobytes() for i, _ in both], pa.binary()), pa.array([s.tobytes() for _, s in both], pa.binary())]
@@ -151,7 +143,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text: str = "text", o
     docs = docs.drop(out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bias = WordLogits(shared.value.fold), shared.value.bias
+        words, bias = word_logits(shared.value.fold), shared.value.bias
         for batch in pieces(batches, text):
             logits = []
             for t in utf8(batch.column(text)):

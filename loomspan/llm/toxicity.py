@@ -24,25 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import held_out, pieces, utf8
+from .base import Memo, held_out, pieces, utf8
 from .decontamination import words_of
 from .labelled import class_totals, labelled_sample, prior_shift
 
 BITS, PER_CLASS, EPOCHS = 20, 4000, 3
-CACHE_WORDS, STEM = 300_000, 4
+STEM = 4
 
 
-class WordHashes(dict):
-    """word -> 32-bit hash of the word, then 32 of its stem, remembered for up to ``CACHE_WORDS`` words."""
+def word_hashes() -> Memo:
+    """word -> 32-bit hash of the word, then 32 of its stem."""
+    return Memo(lambda word: zlib.crc32(word) << 32 | zlib.crc32(word[:STEM], 1))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = zlib.crc32(word) << 32 | zlib.crc32(word[:STEM], 1)
-        return h
 
-
-def feature_indices(words: list[bytes], cache: WordHashes, bits: int = BITS) -> np.ndarray:
+def feature_indices(words: list[bytes], cache: Memo, bits: int = BITS) -> np.ndarray:
     """Hashes of words, stems, pairs and skip-pairs; not yet distinct."""
     both = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     h, stems = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
@@ -89,7 +84,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id
     """Learn from at most ``2 * per_class`` documents outside the held-out fold."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = word_hashes()
         for batch in pieces(batches, "body"):
             idx = [np.unique(feature_indices(words_of(t), cache)).astype(np.int32).tobytes() for t in utf8(batch.column("body"))]
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.array(idx, pa.binary())], ["order", "y", "idx"])
@@ -109,7 +104,7 @@ def score_toxicity(docs: DataFrame, model: FtrlModel, *, text: str = "text", out
     docs = docs.drop(out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, cache = shared.value.dense(), shared.value.bias, WordHashes()
+        weights, bias, cache = shared.value.dense(), shared.value.bias, word_hashes()
         for batch in pieces(batches, text):
             logits = []
             for t in utf8(batch.column(text)):
