@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, quality, sentencepiece, sharding, toxicity, url_filter, warc
+from . import decontamination, exact_dedup, line_dedup, quality, sentencepiece, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sentencepiece": sentencepiece.op7_sentencepiece,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
