@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, line_dedup, quality, sentencepiece, sharding, toxicity, url_filter, warc
+from . import decontamination, exact_dedup, line_dedup, ngram_join, quality, sentencepiece, sharding, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op4_sharding": sharding.op4_sharding,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_sentencepiece": sentencepiece.op7_sentencepiece,
         "op8_warc": warc.op8_warc,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
