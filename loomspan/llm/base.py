@@ -27,11 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Intermediate tables written to the shared folder, so that a lost executor costs no recomputation
-    beyond its own tasks. ``drop`` frees one early; the rest goes when the driver's process ends."""
+    beyond its own tasks. ``drop`` frees one early; the rest goes when the driver's process ends, or with
+    ``release``, which a caller may use once everything that reads the tables has been written elsewhere."""
+
+    live: list[Scratch] = []
+
+    @classmethod
+    def release(cls) -> None:
+        while cls.live:
+            old = cls.live.pop()
+            old._remove(old.root)
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomspan-{label}-{uuid.uuid4().hex}"
+        self.live.append(self)
         atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str, partition_by: Iterable[str] = (), **options: str) -> DataFrame:

@@ -3,9 +3,16 @@
 A document is the set of its distinct word shingles. Sets of sizes within one band meet in that band's scheme; a set
 also enters the next band's scheme when a partner there is possible. Two sets with Jaccard similarity ``t`` or more and
 at most ``r`` elements differ in at most ``k = floor(2r (1 - t) / (1 + t))`` elements. The element domain is cut (by
-hash) into ``k // 2 + 1`` parts, so one part holds at most one difference; that part is cut into three, so some two of
-the three hold none. Each pair of thirds of each part, hashed with its place and band, is a signature: sets that are
-similar enough share one, by counting alone.
+hash) into ``n1`` parts; a part with at most ``k2`` differences is good, and ``n1 - k // (k2 + 1)`` parts are. Each
+part is cut into ``n2`` pieces, and every choice of ``n2 - k2`` pieces of every part, hashed with its place and band,
+is a signature: in a good part one choice holds no difference, so sets that are similar enough share a signature, by
+counting alone.
+
+``n1`` leaves ``slack`` good parts more than the one that is needed. A set may therefore keep back its *weak*
+signatures, those of empty choices and those that very many sets share, as long as they lie in at most ``slack`` parts
+of a scheme: a pair's shared signature is weak for both or for neither, so one that is not weak remains. Sets with more
+weak parts send them all. So nothing is lost, and no bucket fills with sets that merely lack the same elements or share
+a common passage.
 
 From signatures to classes without pairs of all in a bucket:
 
@@ -20,14 +27,16 @@ Elements are 64-bit hashes of shingles; an element is taken for equal when its h
 
 Defined cases
   null and empty texts, and texts without words: size 0, linked with nothing, a component each; fewer words than a
-  shingle: the whole sequence is the one element; repeated rows and ids: rows of one id have one row each, and the id's
-  sets all count for its links; null ids: a row each, in a component of their own (null); empty table: empty result.
+  shingle: the whole sequence is the one element; repeated rows: a result row each; an id with different texts: each row has its own
+  size, the largest set (as bytes) is the one whose links count; null ids: a row each, in a component of their own (null); empty table: empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +49,8 @@ from .components import components
 
 #: Elements and members of one unit of step 3: what one task holds at a time.
 UNIT_ELEMENTS, UNIT_MEMBERS = 1 << 21, 2048
+#: A signature that more rows than this share is weak (see above).
+HOT_ROWS = 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -68,47 +79,74 @@ def shingle_set(text: bytes | None, n: int, memo: Memo) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def band_of(size: int, percent: int) -> tuple[int, int, int]:
-    """(band, its smallest size, its largest size): bands widen by the square of 1 / t."""
+    """(band, its smallest size, its largest size): bands widen by 1 / t."""
     band, low = 0, 1
     while True:
-        high = max(low, low * 10_000 // (percent * percent))
+        high = max(low, low * 100 // percent)
         if size <= high:
             return band, low, high
         band, low = band + 1, high + 1
 
 
-@lru_cache(maxsize=4096)
-def _parts(band: int, k: int) -> tuple[int, np.uint64]:
-    return k // 2 + 1, np.uint64(xxhash.xxh64_intdigest(f"band {band}"))
-
+@lru_cache(maxsize=None)
+def scheme_of(band: int, low: int, high: int, percent: int) -> tuple[int, int, tuple[tuple[int, ...], ...], int, int]:
+    """(n1, n2, choices of pieces, slack, seed) of a band's scheme.
 
-def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set, in its own band's scheme and, where a larger partner may be there, the next one's."""
+    Few differences: one part, cut fine enough that some choice is free of them. More: parts of one piece, or of three
+    with one difference allowed where similarity is high and parts are large; the slack covers the empty choices that
+    sets of the band's smallest size are to be expected to have, and three standard deviations.
+    """
+    k = (100 - percent) * 2 * high // (100 + percent)
+    seed = xxhash.xxh64_intdigest(f"band {band} of {percent}")
+    if k <= 3:
+        n2 = (1, 3, 5, 6)[k]
+        return 1, n2, tuple(combinations(range(n2), n2 - k)), 0, seed
+    k2, n2 = (1, 3) if percent >= 90 else (0, 1)
+    choices = tuple(combinations(range(n2), n2 - k2))
+    base, slack = k // (k2 + 1) + 1, 0
+    while slack < base:
+        n1 = base + slack
+        weak = n1 * min(1.0, len(choices) * exp(-low * len(choices[0]) / n2 / n1))
+        if slack >= weak + 3 * sqrt(weak):
+            break
+        slack += 1
+    return base + slack, n2, choices, slack, seed
+
+
+def signatures(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """(band, slack left, signatures) of a set: in its own band's scheme, and the next one's if larger partners may be
+    there. Empty choices are kept back where the slack allows."""
     size = len(elements)
     if not size:
-        return np.zeros(0, np.uint64)
-    band, _, high = band_of(size, percent)
-    schemes = [(band, high)]
-    if size * 100 >= percent * (high + 1):
-        nxt = band_of(high + 1, percent)
-        schemes.append((nxt[0], nxt[2]))
+        return []
+    own = band_of(size, percent)
+    schemes = [own]
+    if size * 100 >= percent * (own[2] + 1):
+        schemes.append(band_of(own[2] + 1, percent))
     placed = _mix(elements ^ _M1)
     out = []
-    for b, r in schemes:
-        k = (100 - percent) * 2 * r // (100 + percent)
-        parts, seed = _parts(b, k)
-        if k == 0:
-            out.append(_mix(np.array([elements.sum(dtype=np.uint64)], np.uint64) ^ seed))
-            continue
-        third = (placed % np.uint64(3 * parts)).astype(np.int64)
-        order = np.argsort(third, kind="stable")
-        edges = np.searchsorted(third[order], np.arange(3 * parts + 1))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(elements[order] + seed), dtype=np.uint64)))
-        thirds = (sums[edges[1:]] - sums[edges[:-1]]).reshape(parts, 3)
-        places = np.arange(parts, dtype=np.uint64)
-        for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            out.append(_mix(_mix(thirds[:, i] * _M1 + thirds[:, j] + seed) + places * np.uint64(3) + np.uint64(pair)))
-    return np.concatenate(out)
+    for band, low, high in schemes:
+        n1, n2, choices, slack, seed = scheme_of(band, low, high, percent)
+        salt = np.uint64(seed)
+        place = (_mix(placed ^ salt) % np.uint64(n1 * n2)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(n1 * n2 + 1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(elements[order] + salt), dtype=np.uint64)))
+        piece = (sums[edges[1:]] - sums[edges[:-1]]).reshape(n1, n2)
+        count = np.diff(edges).reshape(n1, n2)
+        where = np.arange(n1, dtype=np.uint64) * np.uint64(len(choices))
+        sigs, empty = [], []
+        for c, chosen in enumerate(choices):
+            mixed = np.full(n1, salt)
+            for j in chosen:
+                mixed = _mix(mixed * _M1 + piece[:, j])
+            sigs.append(_mix(mixed + where + np.uint64(c)))
+            empty.append(count[:, chosen].sum(axis=1) == 0)
+        weak = np.array(empty)
+        lost = int(weak.any(axis=0).sum())
+        every = np.array(sigs)
+        out.append((band, slack - lost, every[~weak]) if lost <= slack else (band, -1, every.ravel()))
+    return out
 
 
 def _as_set(raw: bytes) -> np.ndarray:
@@ -122,23 +160,32 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both * 100 >= percent * (len(a) + len(b) - both)
 
 
+_SKETCH = "id long, n long, key binary, schemes array<struct<band: int, slack: int, sigs: array<long>>>"
+_SKETCH_ARROW = pa.list_(pa.struct([("band", pa.int32()), ("slack", pa.int32()), ("sigs", pa.list_(pa.int64()))]))
+
+
 def _sketches(docs: DataFrame, id_column: str, text: str, n: int, percent: int) -> DataFrame:
-    """(id, n, key, sigs) for each row: the set's size, a 128-bit digest of the set, its signatures."""
+    """A row for each row: the set's size, a 128-bit digest of the set, its signatures by scheme."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in pieces(batches, "body"):
-            sizes, keys, sigs, offsets = [], [], [], [0]
+            sizes, keys, bands, slacks, sigs, inner, outer = [], [], [], [], [np.zeros(0, np.int64)], [0], [0]
             for t in utf8(batch.column("body")):
                 s = shingle_set(t, n, memo)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh128_digest(s.tobytes()))
-                sigs.append(signatures(s, percent).view(np.int64))
-                offsets.append(offsets[-1] + len(sigs[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "key", "sigs"])
+                for band, slack, found in signatures(s, percent):
+                    bands.append(band)
+                    slacks.append(slack)
+                    sigs.append(found.view(np.int64))
+                    inner.append(inner[-1] + len(found))
+                outer.append(len(bands))
+            lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(sigs)))
+            schemes = pa.StructArray.from_arrays([pa.array(bands, pa.int32()), pa.array(slacks, pa.int32()), lists], fields=list(_SKETCH_ARROW.value_type))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), schemes)], ["id", "n", "key", "schemes"])
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("body")).mapInArrow(run, "id long, n long, key binary, sigs array<long>")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("body")).mapInArrow(run, _SKETCH)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
@@ -236,17 +283,21 @@ def similarity_classes(docs: DataFrame, *, id_column: str = "doc_id", text: str
     classes = known.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     member = scratch.save(known.select("id", "key").join(classes, "key").groupBy("id", "rep").agg(F.max("n").alias("n")), "members")
     # Buckets with two different classes or more; signatures that only one set has go before they are shuffled again.
-    sigs = known.select("id", "key", F.explode("sigs").alias("sig"))
-    tag = F.xxhash64("key")
-    several = sigs.groupBy("sig").agg(F.min("id").alias("center"), F.min(tag).alias("t0"), F.max(tag).alias("t1")).filter("t0 <> t1").select("sig", "center")
-    several = scratch.save(several, "several")
-    inside = BitFilter(several, "sig", 20).keep(sigs.select("sig", "id"), "sig").join(several, "sig")
+    schemes = known.select("id", F.xxhash64("key").alias("tag"), F.explode("schemes").alias("s")).select("id", "tag", "s.band", "s.slack", F.explode("s.sigs").alias("sig"))
+    several = schemes.groupBy("sig").agg(F.min("tag").alias("t0"), F.max("tag").alias("t1"), F.count(F.lit(1)).alias("rows"))
+    several = scratch.save(several.filter("t0 <> t1").select("sig", "rows"), "several")
     reps = member.select("id", "rep", "n")
-    buckets = scratch.save(inside.join(reps.filter("id = rep").select("id", "n"), "id").groupBy("sig", "id").agg(F.min("center").alias("center"), F.max("n").alias("n")), "buckets")
-    pairs = buckets.select(F.col("center").alias("c"), F.col("id").alias("b")).distinct().join(reps.select(F.col("id").alias("c"), F.col("rep").alias("a")), "c").filter("a <> b").select("a", "b").distinct()
-    pairs = scratch.save(pairs, "pairs")
-    wanted = buckets.select("id").unionByName(pairs.select(F.col("a").alias("id")))
-    sets = scratch.save(_sets(docs, wanted, id_column, text, n).dropDuplicates(["id"]), "sets")
+    inside = BitFilter(several, "sig", 20).keep(schemes.drop("tag"), "sig").join(several, "sig").join(reps.filter("id = rep").select("id", "n"), "id")
+    inside = scratch.save(inside.groupBy("sig", "id").agg(F.max("n").alias("n"), F.max("rows").alias("rows"), F.min("band").alias("band"), F.min("slack").alias("slack")), "inside")
+    # Hot signatures are kept back by the sets whose slack covers all of theirs in the scheme.
+    hot = inside.filter(F.col("rows") > HOT_ROWS)
+    spared = hot.groupBy("id", "band").agg(F.count(F.lit(1)).alias("weak"), F.min("slack").alias("left")).filter("weak <= left").select("id", "band")
+    kept = hot.join(spared, ["id", "band"], "left_anti").select("sig", "id", "n")
+    buckets = scratch.save(inside.filter(F.col("rows") <= HOT_ROWS).select("sig", "id", "n").unionByName(kept), "buckets")
+    centers = buckets.groupBy("sig").agg(F.min("id").alias("c"))
+    pairs = scratch.save(buckets.select("sig", "id").join(centers, "sig").filter("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    wanted = buckets.select("id")
+    sets = scratch.save(_sets(docs, wanted, id_column, text, n).groupBy("id").agg(F.max("elements").alias("elements")), "sets")
     links = scratch.save(_verified(pairs, sets, percent), "links")
     same_id = member.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     label = scratch.save(components(links, scratch, "first"), "labels-1")
