@@ -108,6 +108,16 @@ class BitFilter:
         return self.mark(df, column, "_bf_hit").filter("_bf_hit").drop("_bf_hit")
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_column: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (one column). Only rows that may go are joined; the rest, most
+    of the texts, do not move. Null ids stay."""
+    (key,) = gone.columns
+    flag, to = free_name(docs, "_maybe"), free_name(docs, "_gone")
+    marked = BitFilter(gone, key).mark(docs, id_column, flag)
+    left = marked.filter(flag).join(gone.select(F.col(key).alias(to)), F.col(id_column) == F.col(to), "left_anti")
+    return marked.filter(~F.col(flag)).unionByName(left).select(*docs.columns)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import BitFilter, Scratch
+from .base import BitFilter, Scratch, free_name, without_ids
 
 #: Rows of a memtable, and the most memtables that are flushed before they grow instead.
 MEMTABLE_ROWS, MAX_RUNS, FANOUT = 1 << 17, 16, 4
@@ -84,8 +84,15 @@ def exact_groups(docs: DataFrame, *, id_column: str = "doc_id", text: str = "tex
 
 def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of equal texts: that with the smallest id."""
-    gone = exact_groups(docs, id_column=id_column, text=text, **options).filter("NOT kept").select(F.col("id").alias("_gone"))
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti").dropDuplicates([id_column])
+    scratch = Scratch(docs.sparkSession, "deduplicate")
+    groups = exact_groups(docs, id_column=id_column, text=text, **options)
+    gone = scratch.save(groups.filter("NOT kept").select("id").distinct(), "gone")
+    kept = without_ids(docs, gone, id_column)
+    # Rows of one id with one text: few, so only those that may be such are compared.
+    twice = scratch.save(groups.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "twice")
+    flag = free_name(docs, "_twice")
+    marked = BitFilter(twice, "id").mark(kept, id_column, flag)
+    return marked.filter(~F.col(flag)).unionByName(marked.filter(flag).dropDuplicates([id_column])).select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

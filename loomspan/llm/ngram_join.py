@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import BitFilter, Memo, Scratch, pieces, utf8
+from .base import BitFilter, Memo, Scratch, pieces, utf8, without_ids
 from .components import components
 
 #: Elements and members of one unit of step 3: what one task holds at a time.
@@ -314,8 +314,8 @@ def keep_one(docs: DataFrame, *, id_column: str = "doc_id", **options) -> DataFr
     """``docs`` with one document of each class: that with the smallest id. Null ids stay."""
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = scratch.save(similarity_classes(docs, id_column=id_column, **options), "classes")
-    gone = found.filter("component_id <> id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    gone = scratch.save(found.filter("component_id <> id").select("id").distinct(), "gone")
+    return without_ids(docs, gone, id_column)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
