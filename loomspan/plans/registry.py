@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..engine import query
+from .frames import FRAMES
 from .suites import NO_ORACLE, SUITE
 from .tpch import TPCH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query(sql) for name, (sql, _) in {**TPCH, **SUITE}.items()}
+    return {name: query(sql) for name, (sql, _) in {**TPCH, **SUITE}.items()} | {name: run for name, (run, _) in FRAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck for name, (_, duck) in {**TPCH, **SUITE}.items() if name not in NO_ORACLE}
+    return {name: duck for name, (_, duck) in {**TPCH, **SUITE}.items() if name not in NO_ORACLE} | {name: duck for name, (_, duck) in FRAMES.items()}

@@ -35,3 +35,8 @@ def test_session() -> SparkSession:
     """The session of tests and benchmarks on one machine."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     return build_session("loomspan-local", f"local[{cpus}]", 8, **{"spark.driver.memory": "8g"})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where every executor can write: spark.checkpoint.dir, or the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
