@@ -12,7 +12,8 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 8, pa
 
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     try:
-        return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+        return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # event time is an instant; files may hold local times
     except AnalysisException as e:
         raise ValueError(f"{folder} cannot be read as a stream") from e
 
