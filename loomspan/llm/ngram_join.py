@@ -21,7 +21,8 @@ From signatures to classes without pairs of all in a bucket:
    whole sets. Verified links join up (see ``components``).
 3. Buckets that still hold several components are settled inside: members of different components are compared by
    blocked matrix products of their element incidence, in units of bounded size, and only a spanning forest of the
-   links found comes out. No link that connects is lost; links within a component change nothing.
+   links found comes out. Buckets with members in common are settled as one group, unless it is large. No link that
+   connects is lost; links within a component change nothing.
 
 Elements are 64-bit hashes of shingles; an element is taken for equal when its hash is.
 
@@ -51,6 +52,8 @@ from .components import components
 UNIT_ELEMENTS, UNIT_MEMBERS = 1 << 21, 2048
 #: A signature that more rows than this share is weak (see above).
 HOT_ROWS = 256
+#: A group of buckets with more members than this is settled bucket by bucket in step 3.
+GROUP_MEMBERS = 16 * UNIT_MEMBERS
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -282,12 +285,12 @@ def similarity_classes(docs: DataFrame, *, id_column: str = "doc_id", text: str
     # Equal sets: one class, of which the smallest id stands for all.
     classes = known.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     member = scratch.save(known.select("id", "key").join(classes, "key").groupBy("id", "rep").agg(F.max("n").alias("n")), "members")
-    # Buckets with two different classes or more; signatures that only one set has go before they are shuffled again.
-    schemes = known.select("id", F.xxhash64("key").alias("tag"), F.explode("schemes").alias("s")).select("id", "tag", "s.band", "s.slack", F.explode("s.sigs").alias("sig"))
-    several = schemes.groupBy("sig").agg(F.min("tag").alias("t0"), F.max("tag").alias("t1"), F.count(F.lit(1)).alias("rows"))
-    several = scratch.save(several.filter("t0 <> t1").select("sig", "rows"), "several")
-    reps = member.select("id", "rep", "n")
-    inside = BitFilter(several, "sig", 20).keep(schemes.drop("tag"), "sig").join(several, "sig").join(reps.filter("id = rep").select("id", "n"), "id")
+    copies = member.groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("copy")).filter("copy").select("id")
+    copies = scratch.save(copies, "copies")
+    # Buckets with two sets or more; signatures that only one set has go before they are shuffled again.
+    schemes = without_ids(known.select("id", "n", "schemes"), copies, "id").select("id", "n", F.explode("schemes").alias("s")).select("id", "n", "s.band", "s.slack", F.explode("s.sigs").alias("sig"))
+    several = scratch.save(schemes.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "several")
+    inside = BitFilter(several, "sig", 20).keep(schemes, "sig").join(several, "sig")
     inside = scratch.save(inside.groupBy("sig", "id").agg(F.max("n").alias("n"), F.max("rows").alias("rows"), F.min("band").alias("band"), F.min("slack").alias("slack")), "inside")
     # Hot signatures are kept back by the sets whose slack covers all of theirs in the scheme.
     hot = inside.filter(F.col("rows") > HOT_ROWS)
@@ -301,10 +304,17 @@ def similarity_classes(docs: DataFrame, *, id_column: str = "doc_id", text: str
     links = scratch.save(_verified(pairs, sets, percent), "links")
     same_id = member.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     label = scratch.save(components(links, scratch, "first"), "labels-1")
-    labelled = buckets.join(label, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("label"))
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("same1"), F.sum(F.xxhash64("id", F.lit(3)).cast("decimal(20,0)")).alias("same2"), F.count(F.lit(1)).alias("m")).filter("l0 <> l1")
-    open_ = open_.groupBy("same1", "same2", "m").agg(F.min("sig").alias("sig")).select("sig")  # buckets of the same members: one of them is enough
-    more = scratch.save(_settled(labelled.join(open_, "sig"), sets, percent), "more")
+    labelled = scratch.save(buckets.join(label, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("label")), "labelled")
+    open_ = labelled.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("c")).filter("l0 <> l1").select("sig", "c")
+    members = scratch.save(labelled.join(open_, "sig"), "open")
+    # The same sets meet in many buckets: each is sent once to the group of buckets that hang together. A group too
+    # large for that is settled bucket by bucket.
+    groups = components(members.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), scratch, "groups")
+    grouped = scratch.save(members.join(groups, "id").select("sig", "component", "id", "n", "label"), "grouped")
+    wide = grouped.groupBy("component").agg(F.count_distinct("id").alias("size")).filter(F.col("size") > GROUP_MEMBERS).select("component")
+    whole = grouped.join(wide, "component", "left_anti").select(F.col("component").alias("sig"), "id", "n", "label").distinct()
+    apart = grouped.join(wide, "component", "left_semi").select("sig", "id", "n", "label")
+    more = scratch.save(_settled(whole, sets, percent).unionByName(_settled(apart, sets, percent)), "more")
     final = scratch.save(components(links.unionByName(more).unionByName(same_id), scratch, "final"), "labels-2")
     out = rows.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
