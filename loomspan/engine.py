@@ -16,6 +16,9 @@ from .session import TABLES, build_session
 class Engine:
     """``Engine(spark).sql("SELECT ...")``. Results are lazy DataFrames; Catalyst plans them."""
 
+    #: (application, view) -> folder, of what ``register_dir`` has registered: a table's footers are read once.
+    _registered: dict[tuple[str, str], str] = {}
+
     def __init__(self, spark: SparkSession | None = None):
         self.spark = spark or build_session()
 
@@ -28,13 +31,17 @@ class Engine:
 
     def register(self, name: str, df: DataFrame) -> DataFrame:
         df.createOrReplaceTempView(name)
+        self._registered.pop((self.spark.sparkContext.applicationId, name), None)
         return df
 
-    def register_dir(self, folder: str, only: set[str] | None = None) -> Engine:
-        """The tables of ``folder``, one Parquet each."""
+    def register_dir(self, folder: str, only: set[str] | None = None, refresh: bool = False) -> Engine:
+        """The tables of ``folder``, one Parquet each. One that is registered from there stays as it is, files and
+        schema as they were seen, unless ``refresh``."""
         for name in TABLES:
-            if only is None or name in only:
+            key = (self.spark.sparkContext.applicationId, name)
+            if (only is None or name in only) and (refresh or self._registered.get(key) != folder):
                 self.register_parquet(name, f"{folder}/{name}.parquet")
+                self._registered[key] = folder
         return self
 
     def tables(self) -> list[str]:
