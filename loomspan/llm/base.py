@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -50,8 +51,13 @@ class Scratch:
         df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        self._remove(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more, and have Spark's cleaner release the shuffle files of what has
+        been written: it goes by the driver's garbage, which can be long in coming."""
+        for name in names:
+            self._remove(f"{self.root}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def _remove(self, path: str) -> None:
         try:

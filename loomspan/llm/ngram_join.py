@@ -17,9 +17,12 @@ a common passage.
 From signatures to classes without pairs of all in a bucket:
 
 1. Sets that are equal are one class at once; its smallest id stands for it.
-2. Star round: in each bucket every member is held against the bucket's smallest id, one row each, and verified on the
-   whole sets. Verified links join up (see ``components``).
-3. Buckets that still hold several components are settled inside: members of different components are compared by
+2. Star rounds: in each bucket every member is held against the bucket's smallest id, one row each. Pairs whose count
+   sketches (elements by hash bucket) differ by more than two similar sets can are out; the others are verified on the
+   whole sets. Verified links join up (see ``components``). A round settles all pairs of its centers, so they leave
+   their buckets; buckets of which one component is left are done, the others have a second round.
+3. Of buckets that still hold several components, members whose sketch is near no member of another component leave.
+   What is left is settled inside: members of different components are compared by
    blocked matrix products of their element incidence, in units of bounded size, and only a spanning forest of the
    links found comes out. Buckets with members in common are settled as one group, unless it is large. No link that
    connects is lost; links within a component change nothing.
@@ -29,7 +32,7 @@ Elements are 64-bit hashes of shingles; an element is taken for equal when its h
 Defined cases
   null and empty texts, and texts without words: size 0, linked with nothing, a component each; fewer words than a
   shingle: the whole sequence is the one element; repeated rows: a result row each; an id with different texts: each row has its own
-  size, the largest set (as bytes) is the one whose links count; null ids: a row each, in a component of their own (null); empty table: empty result.
+  size, the largest set is the one whose links count; null ids: a row each, in a component of their own (null); empty table: empty result.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ from .components import components
 UNIT_ELEMENTS, UNIT_MEMBERS = 1 << 21, 2048
 #: A signature that more rows than this share is weak (see above).
 HOT_ROWS = 256
+#: Buckets with more members than this go to step 3 whole: their sketches are not compared.
+SKETCHED_MEMBERS = 512
 #: A group of buckets with more members than this is settled bucket by bucket in step 3.
 GROUP_MEMBERS = 16 * UNIT_MEMBERS
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -152,6 +157,21 @@ def signatures(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.nd
     return out
 
 
+def count_sketch(elements: np.ndarray) -> bytes:
+    """How many elements have each value of their lowest bits, about one each, at most 255."""
+    m = min(1024, max(64, 1 << (max(len(elements), 1) - 1).bit_length()))
+    return np.minimum(np.bincount((elements & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
+    """False only if the sketches alone show more differences than similar sets of these sizes have."""
+    if min(na, nb) * 100 < percent * max(na, nb):
+        return False
+    m = min(len(a), len(b))
+    x, y = (np.minimum(np.frombuffer(v, np.uint8).reshape(-1, m).sum(axis=0, dtype=np.int64), 255) for v in (a, b))
+    return int(np.abs(x - y).sum()) <= (100 - percent) * (na + nb) // (100 + percent)
+
+
 def _as_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
@@ -163,7 +183,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both * 100 >= percent * (len(a) + len(b) - both)
 
 
-_SKETCH = "id long, n long, key binary, schemes array<struct<band: int, slack: int, sigs: array<long>>>"
+_SKETCH = "id long, n long, key binary, counts binary, schemes array<struct<band: int, slack: int, sigs: array<long>>>"
 _SKETCH_ARROW = pa.list_(pa.struct([("band", pa.int32()), ("slack", pa.int32()), ("sigs", pa.list_(pa.int64()))]))
 
 
@@ -173,11 +193,12 @@ def _sketches(docs: DataFrame, id_column: str, text: str, n: int, percent: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in pieces(batches, "body"):
-            sizes, keys, bands, slacks, sigs, inner, outer = [], [], [], [], [np.zeros(0, np.int64)], [0], [0]
+            sizes, keys, counts, bands, slacks, sigs, inner, outer = [], [], [], [], [], [np.zeros(0, np.int64)], [0], [0]
             for t in utf8(batch.column("body")):
                 s = shingle_set(t, n, memo)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh128_digest(s.tobytes()))
+                counts.append(count_sketch(s))
                 for band, slack, found in signatures(s, percent):
                     bands.append(band)
                     slacks.append(slack)
@@ -186,7 +207,7 @@ def _sketches(docs: DataFrame, id_column: str, text: str, n: int, percent: int)
                 outer.append(len(bands))
             lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(sigs)))
             schemes = pa.StructArray.from_arrays([pa.array(bands, pa.int32()), pa.array(slacks, pa.int32()), lists], fields=list(_SKETCH_ARROW.value_type))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), schemes)], ["id", "n", "key", "schemes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(outer, pa.int32()), schemes)], ["id", "n", "key", "counts", "schemes"])
 
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("body")).mapInArrow(run, _SKETCH)
 
@@ -201,20 +222,33 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, n: int)
 
     body = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     near = BitFilter(wanted, "id").keep(body, "id").select("id", "body")
-    return near.mapInArrow(run, "id long, elements binary")
+    return near.mapInArrow(run, "id long, elements binary").groupBy("id").agg(F.max(F.struct(F.octet_length("elements"), "elements")).getField("elements").alias("elements"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose sets are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-    two = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
+def _kept_pairs(pairs: DataFrame, facts: DataFrame, columns: list[str], test) -> DataFrame:
+    """The (a, b) for which ``test(a's columns, b's columns)`` holds; ``facts`` has them by id."""
+    side = lambda end: facts.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
+    wide = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", *(f"{end}_{c}" for end in "ab" for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "ea", rows=256):
-            ok = [similar(_as_set(x), _as_set(y), percent) for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in pieces(batches, f"a_{columns[0]}", rows=256):
+            values = [batch.column(f"{end}_{c}").to_pylist() for end in "ab" for c in columns]
+            yield batch.select(["a", "b"]).filter(pa.array([test(*row) for row in zip(*values)], pa.bool_()))
+
+    return wide.mapInArrow(run, "a long, b long")
+
 
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+def _star_round(live: DataFrame, sketches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, id_column: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of each bucket's smallest id, and what is left of the buckets. ``live``: (sig, id, ...)."""
+    centers = scratch.save(live.groupBy("sig").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1"), f"{name}-centers")
+    placed = live.join(centers, "sig").filter("c <> id")
+    pairs = placed.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    near = scratch.save(_kept_pairs(pairs, sketches, ["counts", "n"], lambda x, nx, y, ny: may_be_similar(x, nx, y, ny, percent)), f"{name}-near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = scratch.save(_sets(docs, wanted, id_column, text, n), f"{name}-sets")
+    links = scratch.save(_kept_pairs(near, sets, ["elements"], lambda x, y: similar(_as_set(x), _as_set(y), percent)), f"{name}-links")
+    scratch.drop(f"{name}-sets")
+    return links, placed.filter("m > 2").drop("c", "m")
 
 
 def _settle(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -254,6 +288,32 @@ def _settle(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent
     return out
 
 
+def _undecided(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``buckets`` (sig, id, n, label) whose sketch allows a link to another component in their bucket, and
+    all rows of buckets with more than ``SKETCHED_MEMBERS``, which hold near copies."""
+    members = buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    sized = buckets.join(members, "sig")
+    small = sized.filter(F.col("m") <= SKETCHED_MEMBERS).drop("m").join(sketches.select("id", "counts"), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
+        raw = [np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()]
+        width = min(map(len, raw))
+        counts = np.array([np.minimum(x.reshape(-1, width).sum(axis=0, dtype=np.int64), 255) for x in raw], np.int16)
+        near = np.zeros(len(raw), bool)
+        for i in range(len(raw) - 1):
+            rest = slice(i + 1, None)
+            ok = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i]))
+            if ok.any():
+                ok[ok] = np.abs(counts[rest][ok] - counts[i]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[rest][ok] + n[i]) // (100 + percent)
+                near[rest] |= ok
+                near[i] |= ok.any()
+        return table.select(["sig", "id", "n", "label"]).filter(pa.array(near))
+
+    found = small.select("sig", "id", "n", "label", "counts").groupBy("sig").applyInArrow(run, "sig long, id long, n long, label long")
+    return found.unionByName(sized.filter(F.col("m") > SKETCHED_MEMBERS).select("sig", "id", "n", "label"))
+
+
 def _settled(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside unresolved buckets. ``buckets``: (sig, id, label, n).
 
@@ -276,6 +336,13 @@ def _settled(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.groupBy("sig", "c1", "c2").applyInArrow(run, "a long, b long").distinct()
 
 
+def _open(buckets: DataFrame, label: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The buckets that hold several components, with each member's."""
+    labelled = scratch.save(buckets.join(label, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("label")), f"{name}-all")
+    several = scratch.save(labelled.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("sig"), f"{name}-sigs")
+    return scratch.save(labelled.join(several, "sig"), name)
+
+
 def similarity_classes(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id) for each row: the set's size and the smallest id reachable by links of
     Jaccard similarity ``percent`` / 100 or more."""
@@ -297,26 +364,34 @@ def similarity_classes(docs: DataFrame, *, id_column: str = "doc_id", text: str
     spared = hot.groupBy("id", "band").agg(F.count(F.lit(1)).alias("weak"), F.min("slack").alias("left")).filter("weak <= left").select("id", "band")
     kept = hot.join(spared, ["id", "band"], "left_anti").select("sig", "id", "n")
     buckets = scratch.save(inside.filter(F.col("rows") <= HOT_ROWS).select("sig", "id", "n").unionByName(kept), "buckets")
-    centers = buckets.groupBy("sig").agg(F.min("id").alias("c"))
-    pairs = scratch.save(buckets.select("sig", "id").join(centers, "sig").filter("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    wanted = buckets.select("id")
-    sets = scratch.save(_sets(docs, wanted, id_column, text, n).groupBy("id").agg(F.max("elements").alias("elements")), "sets")
-    links = scratch.save(_verified(pairs, sets, percent), "links")
+    scratch.drop("inside", "several", "copies")
+    near = BitFilter(buckets.select("id"), "id").keep(known.select("id", "n", "counts"), "id")
+    sketches = scratch.save(near.groupBy("id").agg(F.max(F.struct("n", "counts")).alias("s")).select("id", "s.n", "s.counts"), "counts")
+    sizes = scratch.save(rows.select("id", "n"), "sizes")
+    scratch.drop("sketches")
     same_id = member.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    args = (sketches, docs, scratch)
+    links, rest = _star_round(buckets, *args, "star-1", id_column, text, n, percent)
     label = scratch.save(components(links, scratch, "first"), "labels-1")
-    labelled = scratch.save(buckets.join(label, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("label")), "labelled")
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("c")).filter("l0 <> l1").select("sig", "c")
-    members = scratch.save(labelled.join(open_, "sig"), "open")
+    more, rest = _star_round(_open(rest, label, scratch, "open-1"), *args, "star-2", id_column, text, n, percent)
+    links = scratch.save(links.unionByName(more), "links")
+    label = scratch.save(components(links, scratch, "second"), "labels-2")
+    members = scratch.save(_undecided(_open(rest.drop("label"), label, scratch, "open-2"), sketches, percent), "undecided")
+    scratch.drop("buckets", "counts", "open-1", "open-1-all", "open-2-all", "star-1-near", "star-2-near", "star-1-centers")
+    centers = members.groupBy("sig").agg(F.min("id").alias("c"))
+    members = scratch.save(members.join(centers, "sig"), "centered")
+    sets = scratch.save(_sets(docs, members.select("id").distinct(), id_column, text, n), "sets")
     # The same sets meet in many buckets: each is sent once to the group of buckets that hang together. A group too
     # large for that is settled bucket by bucket.
     groups = components(members.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), scratch, "groups")
     grouped = scratch.save(members.join(groups, "id").select("sig", "component", "id", "n", "label"), "grouped")
-    wide = grouped.groupBy("component").agg(F.count_distinct("id").alias("size")).filter(F.col("size") > GROUP_MEMBERS).select("component")
+    wide = scratch.save(grouped.groupBy("component").agg(F.count_distinct("id").alias("size")).filter(F.col("size") > GROUP_MEMBERS).select("component"), "wide")
     whole = grouped.join(wide, "component", "left_anti").select(F.col("component").alias("sig"), "id", "n", "label").distinct()
     apart = grouped.join(wide, "component", "left_semi").select("sig", "id", "n", "label")
     more = scratch.save(_settled(whole, sets, percent).unionByName(_settled(apart, sets, percent)), "more")
-    final = scratch.save(components(links.unionByName(more).unionByName(same_id), scratch, "final"), "labels-2")
-    out = rows.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
+    final = scratch.save(components(links.unionByName(more).unionByName(same_id), scratch, "final"), "labels-3")
+    scratch.drop("sets", "grouped", "centered")
+    out = sizes.select("id", F.col("n").alias("n_shingles")).join(final, "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
