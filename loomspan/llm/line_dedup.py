@@ -12,8 +12,11 @@ begin is counted in words.
    each; occurrences are never paired with one another.
 4. *Extend*: lines before and after that agree with those at the first occurrence are added, up to ``REACH`` lines to
    either side; runs of neighbouring fingerprints that overlap or touch join up, so a long run is one.
-5. Joined runs of at least ``min_words`` words are deleted from the later document. What is deleted stands earlier, at
-   the first occurrence or, where that is deleted too, at the one before it.
+5. *Regroup*: where that leaves open whether a run around a later occurrence stands earlier (the first occurrence of
+   the fingerprint is in other text), the minimal runs of whole lines with ``min_words`` words around it are grouped by
+   their hash, and each is held against the first of its own group. Again one row each, never pairs.
+6. Joined runs of at least ``min_words`` words and repeated minimal runs are deleted from the later document. Together
+   they are all lines of every run of ``min_words`` words or more that stands earlier, in the corpus or the document.
 
 Defined cases
   null text: no lines, stays null; empty text: stays; a text all of whose lines go becomes empty (``drop_emptied`` drops
@@ -61,8 +64,45 @@ def fingerprints(lines: DataFrame, min_words: int, gram_words: int) -> DataFrame
     return each.withColumn("chosen", F.array_contains(chosen, F.col("start"))).filter("chosen").select("id", "tkey", "pos", "start", "gram")
 
 
+def open_runs(min_words: int, span: int) -> Column:
+    """(run, ln_a, ln_b) of the runs of lines around a fingerprint that its first occurrence does not settle.
+
+    Those are the runs that begin at most ``span`` words before the fingerprint, have ``min_words`` words, reach beyond
+    the lines that agree with the first occurrence and are minimal: they fall short without their first or their last
+    line, or are two lines. Any longer run is made up of such, each overlapping the next. The fingerprint that winnowing
+    gives the stretch at a run's start is the same at all its occurrences, so every one of them is here if one is.
+    """
+    sized = lambda lines: F.transform(lines, lambda x: x["w"].cast("long"))
+    total = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda a, w: a + w)
+    ended_ahead = (F.col("n_ahead") == F.size("ahead")) | (total(sized(F.slice("ahead", F.lit(2), F.greatest(F.col("n_ahead") - 1, F.lit(0))))) >= min_words)
+    ended_behind = (F.col("n_behind") == F.size("behind")) | (total(sized(F.slice("behind", F.lit(1), F.col("n_behind")))) > span)
+    near = F.struct(F.concat(F.reverse(F.slice("behind", 1, span)), F.slice("ahead", 1, min_words + 1)).alias("lines"), F.least(F.size("behind"), F.lit(span)).alias("m"))
+
+    def counted(x: Column) -> Column:
+        starts = F.aggregate(sized(x["lines"]), F.array(F.lit(0).cast("long")), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w)))
+        return F.struct(x["lines"].alias("lines"), x["m"].alias("m"), starts.alias("at"))
+
+    def minimal(x: Column) -> Column:
+        words = lambda a, b: F.get(x["at"], b) - F.get(x["at"], a)
+        begins = F.filter(F.sequence(F.lit(0), x["m"]), lambda a: words(a, x["m"]) <= span)
+        ends = lambda a: F.filter(F.sequence(a + 1, F.least(a + min_words, F.size(x["lines"]))), lambda b: (words(a, b) >= min_words) & ((words(a, b - 1) < min_words) | (words(a + 1, b) < min_words) | (b == a + 2)) & ((x["m"] - a > F.col("n_behind")) | (b - x["m"] > F.col("n_ahead"))))
+        cut = lambda a, b: F.slice(x["lines"], a + 1, b - a)
+        run = lambda a, b: F.struct(F.unhex(F.md5(F.aggregate(cut(a, b), F.lit(b"").cast("binary"), lambda h, y: F.concat(h, y["h"])))).alias("run"), F.get(x["lines"], a)["ln"].alias("ln_a"), F.get(x["lines"], b - 1)["ln"].alias("ln_b"))
+        return F.flatten(F.transform(begins, lambda a: F.transform(ends(a), lambda b: run(a, b))))
+
+    one = F.element_at(F.transform(F.transform(F.array(near), counted), minimal), 1)
+    return F.when(~(ended_ahead & ended_behind), one)
+
+
+def _united(runs: Column) -> Column:
+    """Sorted runs, those that overlap as one."""
+    grow = lambda out, r: F.when((F.size(out) > 0) & (r["ln_a"] <= F.element_at(out, -1)["ln_b"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["ln_a"].alias("ln_a"), F.greatest(F.element_at(out, -1)["ln_b"], r["ln_b"]).alias("ln_b"))))).otherwise(F.concat(out, F.array(r)))
+    return F.aggregate(runs, F.slice(runs, 1, 0), grow)
+
+
 def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, reach: int = REACH) -> DataFrame:
     """(id, tkey, runs): for each document with later repeats, the line numbers (from, to, both included) to delete."""
+    reach = max(reach, min_words + 1)  # what regrouping sees
     lines = scratch.save(text_lines(docs, id_column=id_column, text=text), "lines")
     prints = scratch.save(fingerprints(lines, min_words, gram_words), "fingerprints")
     place = F.struct(F.col("id"), F.col("tkey"), F.col("pos"))
@@ -87,13 +127,20 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id
         (F.col("start") - words("behind", F.col("n_behind"))).alias("wa"), (F.col("start") + words("ahead", F.col("n_ahead"))).alias("wb"),
         F.when(F.col("n_behind") > 0, F.element_at("behind", F.greatest("n_behind", F.lit(1)))["ln"]).otherwise(F.element_at("ahead", 1)["ln"]).alias("ln_a"),
         F.element_at("ahead", F.greatest("n_ahead", F.lit(1)))["ln"].alias("ln_b"),
+        open_runs(min_words, min_words - gram_words).alias("open"),
     )
+    extents = scratch.save(extents, "extents")
     same = ["id", "tkey", "sid", "stkey", "shift"]
     in_order = W.partitionBy(*same).orderBy("a", "b")
     reached = F.max("b").over(in_order.rowsBetween(W.unboundedPreceding, -1))
     islands = extents.withColumn("new", F.coalesce(F.col("a") > reached, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
     islands = islands.groupBy(*same, "island").agg(F.min("wa").alias("wa"), F.max("wb").alias("wb"), F.min("ln_a").alias("ln_a"), F.max("ln_b").alias("ln_b")).filter(F.col("wb") - F.col("wa") >= min_words)
-    return islands.groupBy("id", "tkey").agg(F.sort_array(F.collect_set(F.struct("ln_a", "ln_b"))).alias("runs"))
+    regrouped = extents.select("id", "tkey", F.explode("open").alias("r")).select("id", "tkey", "r.run", "r.ln_a", "r.ln_b")
+    place = F.struct(F.col("id"), F.col("tkey"), F.col("ln_a"))
+    origin = regrouped.groupBy("run").agg(F.min(place).alias("src"), F.max(place).alias("last")).filter(F.col("src") < F.col("last")).select("run", "src")
+    repeated = BitFilter(origin, "run", 18).keep(regrouped, "run").join(origin, "run").filter(F.col("src") < place)
+    found = islands.select("id", "tkey", "ln_a", "ln_b").unionByName(repeated.select("id", "tkey", "ln_a", "ln_b"))
+    return found.groupBy("id", "tkey").agg(_united(F.sort_array(F.collect_set(F.struct("ln_a", "ln_b")))).alias("runs"))
 
 
 def _marked(docs: DataFrame, id_column: str, text: str, runs_name: str, **options) -> DataFrame:
