@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 METRICS = ("l2", "cosine", "dot")
+#: What the default ``nprobe`` of an index reaches on rows of its own sample, for so many neighbours and query rows at most.
+RECALL, RECALL_K, RECALL_ROWS = 0.95, 10, 200
 
 
 def distances(matrix: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
@@ -55,7 +57,9 @@ def knn(df: DataFrame, query: Sequence[float], k: int = 10, *, metric: str = "l2
 class IvfIndex:
     """Inverted file: vectors by nearest centroid. Centroids come from Lloyd's rounds on a sample of at most
     ``sample`` rows; every row is assigned. A search reads the cells of the ``nprobe`` nearest centroids and ranks their
-    vectors exactly, so refinement is complete within the cells."""
+    vectors exactly, so refinement is complete within the cells. The default ``nprobe`` is the least that finds
+    ``RECALL`` of the true neighbours of sampled rows within the sample; searches it says nothing about (a filter, more
+    than ``RECALL_K`` neighbours) read all cells unless ``nprobe`` is given."""
 
     def __init__(self, df: DataFrame, cells: int = 16, *, metric: str = "l2", column: str = "embedding", id_column: str = "vec_id", sample: int = 10_000, rounds: int = 10, seed: int = 7):
         self.metric, self.column, self.id_column = metric, column, id_column
@@ -66,8 +70,20 @@ class IvfIndex:
         for _ in range(rounds):
             near = self._cell(data)
             self.centroids = np.array([data[near == c].mean(axis=0) if (near == c).any() else self.centroids[c] for c in range(len(self.centroids))])
+        self.nprobe = self._enough(data)
         self.table = self._assigned(df)
 
+    def _enough(self, data: np.ndarray) -> int:
+        cell, ranks = self._cell(data), []
+        for q in data[:: -(-len(data) // RECALL_ROWS)]:
+            place = np.empty(len(self.centroids), int)
+            place[self._nearest(q)] = np.arange(len(place))
+            ranks.append(place[cell[np.argsort(distances(data, q, self.metric), kind="stable")[:RECALL_K]]])
+        return next(n for n in range(1, len(self.centroids) + 1) if (np.concatenate(ranks) < n).mean() >= RECALL)
+
+    def _nearest(self, q: np.ndarray) -> np.ndarray:
+        return np.argsort(((self.centroids - q) ** 2).sum(axis=1))
+
     def _unit(self, m: np.ndarray) -> np.ndarray:
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if self.metric == "cosine" else m
 
@@ -91,7 +107,9 @@ class IvfIndex:
         self.table = self.table.sparkSession.read.parquet(path)
         return self
 
-    def search(self, query: Sequence[float], k: int = 10, nprobe: int = 4, where: Column | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int = 10, nprobe: int | None = None, where: Column | None = None) -> DataFrame:
         q = self._unit(np.asarray(query, np.float64)[None, :])[0]
-        near = np.argsort(((self.centroids - q) ** 2).sum(axis=1))[:nprobe].tolist()
+        if nprobe is None:
+            nprobe = self.nprobe if where is None and k <= RECALL_K else len(self.centroids)
+        near = self._nearest(q)[:nprobe].tolist()
         return knn(self.table.filter(F.col("cell").isin(near)), query, k, metric=self.metric, column=self.column, where=where, id_column=self.id_column).drop("cell")
