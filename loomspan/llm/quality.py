@@ -33,8 +33,8 @@ from .base import Memo, held_out, pieces, utf8
 from .labelled import class_totals, labelled_sample, prior_shift
 
 BITS, DIM, MIN_GRAM, MAX_GRAM, PER_CLASS, EPOCHS, RATE = 16, 8, 2, 4, 2000, 6, 2.0
-#: A word longer than this takes its n-grams from a window of that many bytes at each end, beside its own hash.
-LONG_WORD = 64
+#: Bytes. Longer words are not remembered, and their n-grams are hashed in blocks of ``BLOCK`` bytes.
+MEMO_WORD, BLOCK = 126, 1 << 16
 #: No text has this word: words have no white space.
 REPEAT = b" = "
 
@@ -48,11 +48,39 @@ def buckets_of(word: bytes, bits: int = BITS) -> list[int]:
     """The word's bucket and those of its character n-grams (bytes, with word ends marked)."""
     mask = (1 << bits) - 1
     marked = b"<" + word + b">"
-    cut = [marked] if len(marked) <= 2 * LONG_WORD else [marked[:LONG_WORD], marked[-LONG_WORD:]]
-    grams = [zlib.crc32(m[i : i + n], n) & mask for m in cut for n in range(MIN_GRAM, MAX_GRAM + 1) for i in range(len(m) - n + 1)]
+    grams = [zlib.crc32(marked[i : i + n], n) & mask for n in range(MIN_GRAM, MAX_GRAM + 1) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(marked) & mask, *grams]
 
 
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def long_buckets(word: bytes, bits: int = BITS) -> Iterator[np.ndarray]:
+    """The same buckets as ``buckets_of``, in blocks: memory does not follow the word."""
+    mask = (1 << bits) - 1
+    marked = b"<" + word + b">"
+    yield np.array([zlib.crc32(marked) & mask])
+    for at in range(0, len(marked), BLOCK):
+        data = np.frombuffer(marked[at : at + BLOCK + MAX_GRAM - 1], np.uint8)
+        for n in range(MIN_GRAM, MAX_GRAM + 1):
+            begins = min(BLOCK, len(data) - n + 1)
+            if begins > 0:
+                crc = np.full(begins, ~n & 0xFFFFFFFF, np.uint32)  # CRC-32 of n bytes from each place, begun at n
+                for k in range(n):
+                    crc = _CRC[(crc ^ data[k : k + begins]) & 0xFF] ^ (crc >> 8)
+                yield (~crc & mask).astype(np.int64)
+
+
+def long_counts(word: bytes, bits: int = BITS) -> np.ndarray:
+    """How often a long word has each bucket."""
+    counts = np.zeros(1 << bits)
+    for b in long_buckets(word, bits):
+        counts += np.bincount(b, minlength=1 << bits)
+    return counts
+
+
 @dataclass
 class QualityModel:
     """``fold``: for each bucket, how far its vector moves the logit of label 1."""
@@ -65,11 +93,21 @@ def word_logits(folded: np.ndarray) -> Memo:
     """word -> its share of a document's logit."""
     fold = folded.tolist()
 
+    class Logits(Memo):
+        def __missing__(self, word: bytes) -> float:
+            return super().__missing__(word) if len(word) <= MEMO_WORD else long_logit(word)
+
+    def long_logit(word: bytes) -> float:
+        total, n = 0.0, 0
+        for b in long_buckets(word):
+            total, n = total + float(folded[b].sum(dtype=np.float64)), n + len(b)
+        return total / n
+
     def compute(word: bytes) -> float:
         b = buckets_of(word)
         return sum([fold[i] for i in b]) / len(b)
 
-    return Memo(compute)
+    return Logits(compute)
 
 
 def document_features(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
@@ -81,13 +119,18 @@ def document_features(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     total = sum(words.values())
     idx: list[int] = []
     share: list[float] = []
+    long = np.zeros(1 << BITS)
     for w, c in words.items():
+        if len(w) > MEMO_WORD:
+            counts = long_counts(w)
+            long += counts * (c / total / counts.sum())
+            continue
         b = memo[w]
         idx += b
         share += [c / total / len(b)] * len(b)
-    if not idx:
+    if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    sums = np.bincount(np.array(idx), np.array(share), 1 << BITS)
+    sums = np.bincount(np.array(idx, np.int64), np.array(share), 1 << BITS) + long
     live = np.flatnonzero(sums)
     return live.astype(np.int32), sums[live].astype(np.float32)
 
