@@ -108,7 +108,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id
     place = F.struct(F.col("id"), F.col("tkey"), F.col("pos"))
     first = prints.groupBy("gram").agg(F.min(place).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "src")
     later = BitFilter(first, "gram", 18).keep(prints, "gram").join(first, "gram").filter(F.col("src") < place).drop("gram")
-    later = later.join(lines, ["id", "tkey"])
+    own = lines.select(F.col("id").alias("o_id"), F.col("tkey").alias("o_tkey"), "lines")
+    later = later.join(own, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("tkey") == F.col("o_tkey"))).drop("o_id", "o_tkey")
     # What surrounds the fingerprint, before the next shuffle: the lines from it on, and those before it, nearest first.
     around = lambda pos: (F.slice("lines", pos + 1, F.lit(reach)), F.reverse(F.slice("lines", F.greatest(pos - reach, F.lit(0)) + 1, F.least(pos, F.lit(reach)))))
     ahead, behind = around(F.col("pos"))

@@ -48,3 +48,13 @@ def test_random_lines(spark):
         lines = [" ".join(f"v{rng.randrange(9**6)}" for _ in range(rng.choice(sizes))) for _ in range(6)]
         docs += [(len(docs) + k, "\n".join(rng.choice([*lines, ""]) for _ in range(rng.randint(1, 16)))) for k in range(60)]
     assert agrees(spark, docs)
+
+
+def test_null_ids(spark):
+    line = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    docs = [(None, f"{line('x')}\n{line('a')}"), (None, f"{line('x')}\n{line('b')}"), (None, f"{line('y')}\n{line('c')}\n{line('y')}"), (1, line("x") + "\nend")]
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()]
+    left = "\n".join(t for _, t in got).split("\n")
+    assert len(got) == 4 and (1, "end") in got
+    assert left.count(line("x")) == left.count(line("y")) == 1 and (None, f"{line('y')}\n{line('c')}") in got
+    assert {line(n) for n in "abc"} <= set(left)
