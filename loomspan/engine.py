@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pyfuncs
+from .operators import vector
 from .plans.dialect import translate
 from .session import TABLES, build_session
 
@@ -21,6 +23,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession | None = None):
         self.spark = spark or build_session()
+        self._indexes: dict[tuple[str, str, str], vector.IvfIndex] = {}
 
     # tables
 
@@ -53,14 +56,50 @@ class Engine:
 
     # queries
 
-    def translate(self, sql: str) -> str:
+    def translate(self, sql: str, joined_not_in: bool = True) -> str:
         """The Spark SQL of ``sql``; functions it needs are registered."""
-        text = translate(sql.strip().rstrip(";"))
+        text = translate(sql.strip().rstrip(";"), joined_not_in)
         pyfuncs.register(self.spark, set(re.findall(r"\bloom_(\w+)\(", text)))
         return text
 
     def sql(self, sql: str) -> DataFrame:
-        return self.spark.sql(self.translate(sql))
+        text = self.translate(sql)
+        try:
+            return self.spark.sql(text)
+        except AnalysisException:
+            plain = self.translate(sql, joined_not_in=False)
+            if plain == text:
+                raise
+            return self.spark.sql(plain)  # a NOT IN whose subquery refers to the query around it
+
+    # vectors
+
+    def knn(self, table: str, query: Sequence[float], k: int = 10, *, mode: str = "exact", metric: str = "l2", column: str = "embedding", id_column: str = "vec_id", where: Column | None = None, nprobe: int | None = None, refine: int | None = 10) -> DataFrame:
+        """The ``k`` nearest rows of ``table``. ``mode``: ``exact``, or ``indexed``, which reads the ``nprobe`` nearest cells
+        of the table's index (made by ``create_index``, or now), ranks by codes and then the best ``refine * k`` exactly
+        (None: all of them exactly)."""
+        if mode == "exact":
+            return vector.knn(self.spark.table(table), query, k, metric=metric, column=column, where=where, id_column=id_column)
+        if mode != "indexed":
+            raise ValueError("mode is exact or indexed")
+        index = self._indexes.get((table, column, metric)) or self.create_index(table, metric=metric, column=column, id_column=id_column)
+        return index.search(query, k, nprobe, where, refine)
+
+    def create_index(self, table: str, path: str | None = None, **options) -> vector.IvfIndex:
+        """An index over a table's vectors, under ``path`` if given, for ``knn`` in indexed mode."""
+        index = vector.IvfIndex(self.spark.table(table), **options)
+        self._indexes[table, index.column, index.metric] = index.save(path) if path else index
+        return index
+
+    # statistics
+
+    def analyze(self, name: str, path: str) -> None:
+        """``name`` as a catalog table over the Parquet at ``path``, with row counts and column statistics for the
+        cost-based optimizer, which is switched on."""
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` USING parquet LOCATION '{path}'")
+        self.spark.sql(f"ANALYZE TABLE `{name}` COMPUTE STATISTICS FOR ALL COLUMNS")
+        for setting in ("enabled", "joinReorder.enabled", "planStats.enabled"):
+            self.spark.conf.set(f"spark.sql.cbo.{setting}", "true")
 
     def expr(self, text: str) -> Column:
         """An expression with the engine's functions, for the DataFrame API."""

@@ -8,6 +8,8 @@ need Python are Arrow functions (``pyfuncs``), named ``loom_...``.
 from __future__ import annotations
 
 INF = "CAST('Infinity' AS DOUBLE)"
+#: The standard error of approx_distinct's sketch where none is given.
+SKETCH_ERROR = "0.01D"
 
 
 def _log(call: str) -> str:
@@ -21,6 +23,15 @@ def _wilson(sign: str) -> str:
     return f"CASE WHEN {{1}} > 0 THEN ({s} / {n} + {z} * {z} / (2 * {n}) {sign} {spread}) / (1 + {z} * {z} / {n}) END"
 
 
+def _hmac(digest: str, block: int) -> str:
+    """HMAC of text {1} under key {0}: the digest of the key's outer pad and the digest of its inner pad and the text."""
+    key, text = "CAST({0} AS BINARY)", "CAST({1} AS BINARY)"
+    full = f"rpad(hex(CASE WHEN octet_length({key}) > {block} THEN {digest.format(key)} ELSE {key} END), {2 * block}, '0')"
+    pad = lambda byte: f"unhex(array_join(transform(sequence(1, {2 * block}, 2), i -> lpad(hex(CAST(conv(substring({full}, i, 2), 16, 10) AS INT) ^ {byte}), 2, '0')), ''))"
+    inner = digest.format(f"concat({pad(0x36)}, {text})")
+    return f"lower(hex({digest.format(f'concat({pad(0x5C)}, {inner})')}))"
+
+
 _DOT = "aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (a, x) -> a + x)"
 _NORM = "sqrt(aggregate({%d}, 0D, (a, x) -> a + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
 _COSINE = f"({_DOT} / ({_NORM % 0} * {_NORM % 1}))"
@@ -29,6 +40,9 @@ _AT = "variant_get(try_parse_json({0}), {1}, 'variant')"
 _NESTED = f"(schema_of_variant({_AT}) LIKE 'OBJECT%' OR schema_of_variant({_AT}) LIKE 'ARRAY%')"
 _SCALAR = f"CASE WHEN {_NESTED} THEN NULL ELSE get_json_object({{0}}, {{1}}) END"
 
+# Choices of {1} elements, the first ones first: each element, from the last on, is put before what was chosen of those after it.
+_COMBINATIONS = "filter(aggregate(reverse({0}), array(slice({0}, 1, 0)), (chosen, x) -> concat(transform(filter(chosen, c -> size(c) < {1}), c -> concat(array(x), c)), chosen)), c -> size(c) = {1})"
+
 MATH = {
     "ceil": {1: "CAST(ceil({0}) AS DOUBLE)"}, "ceiling": {1: "CAST(ceil({0}) AS DOUBLE)"}, "floor": {1: "CAST(floor({0}) AS DOUBLE)"},
     "sign": "CAST(signum({0}) AS INT)",
@@ -47,7 +61,7 @@ MATH = {
 }
 
 STRING = {
-    "trim": {1: r"regexp_replace({0}, '^\\s+|\\s+$', '')"}, "ltrim": {1: r"regexp_replace({0}, '^\\s+', '')"}, "rtrim": {1: r"regexp_replace({0}, '\\s+$', '')"},
+    "trim": {1: r"regexp_replace({0}, '^\\s+|\\s+$', '')", 2: "trim(BOTH {1} FROM {0})"}, "ltrim": {1: r"regexp_replace({0}, '^\\s+', '')", 2: "trim(LEADING {1} FROM {0})"}, "rtrim": {1: r"regexp_replace({0}, '\\s+$', '')", 2: "trim(TRAILING {1} FROM {0})"},
     "concat": "concat_ws('', {*})", "strpos": "CAST(instr({0}, {1}) AS BIGINT)", "length": {1: "CAST(length({0}) AS BIGINT)"},
     "split": {2: r"split({0}, concat('\\Q', {1}, '\\E'))"}, "split_part": {3: "CASE WHEN {2} > 0 THEN split_part({0}, {1}, greatest({2}, 1)) WHEN {2} IS NOT NULL AND {0} IS NOT NULL AND {1} IS NOT NULL THEN '' END"},
     "starts_with": "startswith({0}, {1})", "ends_with": "endswith({0}, {1})",
@@ -73,6 +87,10 @@ DATE = {
     "parse_duration": "CAST(try_to_number(regexp_extract({0}, '^([0-9.]+)', 1), '999999999999.999999') * CASE regexp_extract({0}, '([a-z]+)$', 1) WHEN 'ns' THEN 1e-9BD WHEN 'us' THEN 1e-6BD WHEN 'ms' THEN 1e-3BD WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END AS DOUBLE)",
 }
 
+# The high half is moved up and the low half joined on: conv() reads no more than 63 bits as a number.
+_HALF = "CAST(conv(hex(substring({0}, %d, 4)), 16, 10) AS BIGINT)"
+_LONG_OF_BYTES = f"CASE WHEN octet_length({{0}}) >= 8 THEN shiftleft({_HALF % 1}, 32) | {_HALF % 5} END"
+
 OTHER = {
     "try": "{0}", "format": "format_string({*})", "format_number": {1: "format_number({0}, 0)"},
     "parse_data_size": "CAST(try_cast(regexp_extract(trim({0}), '^([0-9.]+)', 1) AS DOUBLE) * CASE upper(regexp_extract(trim({0}), '([A-Za-z]+)$', 1)) WHEN 'B' THEN 1 WHEN 'KB' THEN 1024 WHEN 'MB' THEN 1048576 WHEN 'GB' THEN 1073741824 WHEN 'TB' THEN 1099511627776 END AS BIGINT)",
@@ -84,9 +102,9 @@ OTHER = {
     "to_base32": "loom_to_base32(CAST({0} AS BINARY))", "from_base32": "loom_from_base32({0})", "sha256": "sha2({0}, 256)", "sha512": "sha2({0}, 512)",
     "crc32": "CAST(CASE WHEN crc32({0}) > 2147483647 THEN crc32({0}) - 4294967296 ELSE crc32({0}) END AS INT)",
     "xxhash64": {1: "loom_xxhash64(CAST({0} AS BINARY))"}, "murmur3": "hash({0})",
-    "hmac_md5": "loom_hmac('md5', {*})", "hmac_sha1": "loom_hmac('sha1', {*})", "hmac_sha256": "loom_hmac('sha256', {*})", "hmac_sha512": "loom_hmac('sha512', {*})",
+    "hmac_md5": _hmac("unhex(md5({}))", 64), "hmac_sha1": _hmac("unhex(sha1({}))", 64), "hmac_sha256": _hmac("unhex(sha2({}, 256))", 64), "hmac_sha512": _hmac("unhex(sha2({}, 512))", 128),
     "from_big_endian_32": "CASE WHEN octet_length({0}) >= 4 THEN CAST(shiftright(shiftleft(CAST(conv(hex(substring({0}, 1, 4)), 16, 10) AS BIGINT), 32), 32) AS INT) END",
-    "to_big_endian_32": "unhex(lpad(right(hex({0}), 8), 8, '0'))", "from_big_endian_64": "loom_unpack('>q', {0})", "to_big_endian_64": "unhex(lpad(hex({0}), 16, '0'))",
+    "to_big_endian_32": "unhex(lpad(right(hex({0}), 8), 8, '0'))", "from_big_endian_64": _LONG_OF_BYTES, "to_big_endian_64": "unhex(lpad(hex({0}), 16, '0'))",
     "from_ieee754_32": "CAST(loom_unpack_double('>f', {0}) AS FLOAT)", "to_ieee754_32": "loom_pack('>f', {0})", "from_ieee754_64": "loom_unpack_double('>d', {0})", "to_ieee754_64": "loom_pack('>d', {0})",
     "bitwise_and": "({0} & {1})", "bitwise_or": "({0} | {1})", "bitwise_xor": "({0} ^ {1})", "bitwise_not": "(~{0})", "bit_not": "(~{0})",
     "bit_and": {2: "({0} & {1})"}, "bit_or": {2: "({0} | {1})"}, "bit_xor": {2: "({0} ^ {1})"},
@@ -97,7 +115,7 @@ OTHER = {
     "url_extract_port": r"CAST(nullif(regexp_extract(try_parse_url({0}, 'AUTHORITY'), ':(\\d+)$', 1), '') AS BIGINT)",
     "url_extract_parameter": "try_url_decode(try_parse_url({0}, 'QUERY', {1}))", "url_encode": "replace(url_encode({0}), '+', '%20')", "url_decode": "try_url_decode(replace({0}, '+', '%2B'))",
     "json_extract": f"to_json({_AT})", "json_extract_scalar": _SCALAR, "json_value": _SCALAR, "json_query": f"CASE WHEN {_NESTED} THEN to_json({_AT}) END",
-    "json_exists": f"coalesce({_AT} IS NOT NULL, false)", "json_array_get": "to_json(variant_get(try_parse_json({0}), concat('$[', {1}, ']'), 'variant'))",
+    "json_exists": f"coalesce({_AT} IS NOT NULL, false)", "json_array_get": "to_json(try_element_at(try_variant_get(try_parse_json({0}), '$', 'array<variant>'), CASE WHEN {1} < 0 THEN CAST({1} AS INT) ELSE CAST({1} + 1 AS INT) END))",
     "json_size": {
         1: "CAST(CASE WHEN schema_of_variant(try_parse_json({0})) LIKE 'ARRAY%' THEN json_array_length({0}) WHEN schema_of_variant(try_parse_json({0})) LIKE 'OBJECT%' THEN size(json_object_keys({0})) WHEN try_parse_json({0}) IS NOT NULL THEN 0 END AS BIGINT)",
         2: f"CAST(CASE WHEN schema_of_variant({_AT}) LIKE 'ARRAY%' THEN json_array_length(to_json({_AT})) WHEN schema_of_variant({_AT}) LIKE 'OBJECT%' THEN size(json_object_keys(to_json({_AT}))) WHEN {_AT} IS NOT NULL THEN 0 END AS BIGINT)",
@@ -110,7 +128,7 @@ OTHER = {
 ARRAY = {
     "cardinality": "CAST(size({0}) AS BIGINT)", "array_length": "CAST(size({0}) AS BIGINT)", "element_at": "try_element_at({0}, {1})", "contains": "array_contains({0}, {1})",
     "array_position": "CAST(array_position({0}, {1}) AS BIGINT)", "array_concat": "concat({*})", "array_reverse": "reverse({0})", "trim_array": "slice({0}, 1, size({0}) - {1})",
-    "ngrams": "transform(sequence(1, greatest(size({0}) - {1} + 1, 1)), i -> slice({0}, i, {1}))", "combinations": "loom_combinations({0}, {1})",
+    "ngrams": "transform(sequence(1, greatest(size({0}) - {1} + 1, 1)), i -> slice({0}, i, {1}))", "combinations": _COMBINATIONS,
     "array_first": "try_element_at({0}, 1)", "array_last": "try_element_at({0}, -1)", "zip": "arrays_zip({*})",
     "contains_sequence": "(size({1}) = 0 OR (size({0}) >= size({1}) AND exists(sequence(1, greatest(size({0}) - size({1}) + 1, 1)), i -> slice({0}, i, size({1})) = {1})))",
 }
@@ -120,7 +138,7 @@ AGGREGATE = {
     "checksum": "coalesce(bit_xor({0}), 0)", "bitwise_and_agg": "bit_and({0})", "bitwise_or_agg": "bit_or({0})", "bitwise_xor_agg": "coalesce(bit_xor({0}), 0)",
     "group_concat": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"}, "string_agg": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"}, "listagg": {1: "listagg({0}, ',')"},
     "kurtosis": "CASE WHEN count({0}) >= 4 THEN kurtosis({0}) END", "skewness": "CASE WHEN count({0}) >= 3 THEN skewness({0}) END",
-    "approx_distinct": "count(DISTINCT {0})", "approx_percentile": {1: "CAST(percentile_approx({0}, 0.5D, 1000000) AS DOUBLE)", 2: "CAST(percentile_approx({0}, {1}, 1000000) AS DOUBLE)"},
+    "approx_distinct": {1: f"approx_count_distinct({{0}}, {SKETCH_ERROR})", 2: "approx_count_distinct({0}, {1})"}, "approx_count_distinct": {1: f"approx_count_distinct({{0}}, {SKETCH_ERROR})"}, "approx_percentile": {1: "CAST(percentile_approx({0}, 0.5D, 1000000) AS DOUBLE)", 2: "CAST(percentile_approx({0}, {1}, 1000000) AS DOUBLE)"},
 }
 
 MACROS: dict[str, str | dict[int, str]] = MATH | STRING | DATE | OTHER | ARRAY | AGGREGATE

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
-import hmac
-import itertools
 import json
 import math
 import statistics
@@ -109,8 +106,6 @@ FUNCTIONS = {
     "to_base32": (1, "string", guarded(_any, lambda b: base64.b32encode(b).decode())),
     "from_base32": (1, "binary", guarded(_any, _unhex32)),
     "xxhash64": (1, "bigint", guarded(_any, lambda b: struct.unpack(">q", xxhash.xxh64_digest(b))[0])),
-    "hmac": (3, "string", guarded(_any, lambda kind, key, text: hmac.new(key.encode(), text.encode(), getattr(hashlib, kind)).hexdigest())),
-    "unpack": (2, "bigint", guarded(_size_is, lambda f, b: struct.unpack(f, b[: struct.calcsize(f)])[0])),
     "unpack_double": (2, "double", guarded(_size_is, lambda f, b: struct.unpack(f, b[: struct.calcsize(f)])[0])),
     "pack": (2, "binary", guarded(_any, lambda f, x: struct.pack(f, x))),
     "json_format": (1, "string", guarded(_any, _pretty)),
@@ -141,6 +136,3 @@ def register(spark: SparkSession, names: set[str]) -> None:
             n, kind, f = FUNCTIONS[name]
             chosen = _typed(n, f)
             spark.udf.register(f"loom_{name}", pandas_udf(chosen, kind))
-        elif name == "combinations":
-            of = lambda a, n: pd.Series([None if x is None else [[str(v) for v in c] for c in itertools.combinations(list(x), int(k))] for x, k in zip(a, n)])
-            spark.udf.register("loom_combinations", pandas_udf(_typed(2, of), "array<array<string>>"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..operators import ordering, shapes, vector
 from ..session import shared_folder
 from ..sources.snapshots import SnapshotTable
@@ -40,6 +41,39 @@ def knn_ivf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(_query_vector(spark, sf_dir), 10, nprobe=8).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
+def knn_of_all(metric: str):
+    """Every row whose id is divisible by 50 against all rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(spark, sf_dir, "embeddings")
+        found = vector.knn_all(rows, rows.filter("vec_id % 50 = 0"), 10, metric=metric)
+        return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), "place")
+
+    return run
+
+
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index finds of the true neighbours, with the cells that it probes by default: 0.9 of them or more."""
+    rows = _table(spark, sf_dir, "embeddings")
+    queries = rows.filter("vec_id % 50 = 0")
+    found = vector.IvfIndex(rows).search_all(queries).select("query_id", "id", F.lit(1).alias("hit"))
+    both = vector.knn_all(rows, queries).join(found, ["query_id", "id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table from a list of files."""
+    return Engine(spark).register_parquet("both_nations", [f"{sf_dir}/nation.parquet", f"{sf_dir}/nation.parquet"]).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed mode with all cells and codes refined: the true neighbours."""
+    engine = Engine(spark)
+    engine.register_parquet("indexed_vectors", f"{sf_dir}/embeddings.parquet")
+    found = engine.knn("indexed_vectors", _query_vector(spark, sf_dir), 10, mode="indexed", nprobe=16, refine=20)
+    return found.select("vec_id", F.round("distance", 4).alias("distance"))
+
+
 def snapshot_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Create, append, overwrite; rows of each version."""
     nation = _table(spark, sf_dir, "nation")
@@ -98,12 +132,17 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KNN = "SELECT vec_id, round({d}, 4) AS distance FROM embeddings e, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7){w} ORDER BY {d}, vec_id LIMIT 10"
 _L2, _COS, _DOT = "list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))", "(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])))", "(-list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])))"
+_ALL_L2, _ALL_COS = (d.replace("CAST(q AS", "CAST(q.embedding AS") for d in (_L2, _COS))
 FRAMES = {
     "vector_knn_l2": (knn("l2"), _KNN.format(d=_L2, w="")),
     "vector_knn_cosine": (knn("cosine"), _KNN.format(d=_COS, w="")),
     "vector_knn_dot": (knn("dot"), _KNN.format(d=_DOT, w="")),
     "vector_knn_filtered": (knn_filtered, _KNN.format(d=_L2, w=" WHERE e.label = 1")),
     "vector_knn_ivf_full": (knn_ivf_full, _KNN.format(d=_L2, w="")),
+    **{f"vector_knn_all_{m}": (knn_of_all(m), f"SELECT query_id, vec_id, round(distance, 4) AS distance, CAST(place AS INTEGER) AS place FROM (SELECT q.vec_id AS query_id, e.vec_id, {d} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {d}, e.vec_id) AS place FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE place <= 10") for m, d in (("l2", _ALL_L2), ("cosine", _ALL_COS))},
+    "vector_ivf_recall": (ivf_recall, "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0"),
+    "vector_knn_indexed": (indexed_search, _KNN.format(d=_L2, w="")),
+    "scan_file_list": (file_list, "SELECT n_name, 2 AS n FROM nation"),
     "snapshot_time_travel": (snapshot_time_travel, "SELECT 1 AS version, n_nationkey FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 2, n_nationkey FROM nation WHERE n_regionkey <= 1 UNION ALL SELECT 3, n_nationkey FROM nation WHERE n_regionkey > 1"),
     "shape_eager_aggregation": (eager_aggregation, "SELECT p_brand, round(sum(l_quantity), 2) AS q, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"),
     "shape_having_total": (having_total, "SELECT l_suppkey, round(sum(l_quantity), 2) AS s FROM lineitem GROUP BY l_suppkey HAVING sum(l_quantity) > (SELECT sum(l_quantity) * 0.0101 FROM lineitem)"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..engine import query
 from .frames import FRAMES
-from .suites import NO_ORACLE, SUITE
+from .suites import SUITE
 from .tpch import TPCH
 
 
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck for name, (_, duck) in {**TPCH, **SUITE}.items() if name not in NO_ORACLE} | {name: duck for name, (_, duck) in FRAMES.items()}
+    return {name: duck for name, (_, duck) in {**TPCH, **SUITE}.items()} | {name: duck for name, (_, duck) in FRAMES.items()}
