@@ -37,13 +37,18 @@ class Engine:
         self._registered.pop((self.spark.sparkContext.applicationId, name), None)
         return df
 
-    def register_dir(self, folder: str, only: set[str] | None = None, refresh: bool = False) -> Engine:
-        """The tables of ``folder``, one Parquet each. One that is registered from there stays as it is, files and
-        schema as they were seen, unless ``refresh``."""
+    def register_dir(self, folder: str, only: set[str] | None = None, refresh: bool = False, some: bool = False) -> Engine:
+        """The tables of ``folder``, one Parquet each; with ``some``, those of them that are there. One that is registered
+        from there stays as it is, files and schema as they were seen, unless ``refresh``."""
         for name in TABLES:
             key = (self.spark.sparkContext.applicationId, name)
             if (only is None or name in only) and (refresh or self._registered.get(key) != folder):
-                self.register_parquet(name, f"{folder}/{name}.parquet")
+                try:
+                    self.register_parquet(name, f"{folder}/{name}.parquet")
+                except AnalysisException as e:
+                    if some and e.getCondition() == "PATH_NOT_FOUND":
+                        continue
+                    raise
                 self._registered[key] = folder
         return self
 

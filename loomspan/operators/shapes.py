@@ -22,12 +22,17 @@ def share_of_total(df: DataFrame, key: str, value: str, least: float) -> DataFra
     return groups.join(F.broadcast(total), F.col("s") > F.col("t") * least).select(key, "s")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """An inner equi-join for keys that hold a large share of ``left``: the left side is dealt over ``salts`` parts of
-    each key, the right side is repeated for them."""
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [key, "_salt"]).drop("_salt")
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, share: int = 1000) -> DataFrame:
+    """An inner equi-join for keys that hold a large share of ``left``. Keys with more than one in ``share`` of its rows,
+    of which there are ``share`` at most, are broadcast as a list; their left rows are dealt over ``salts`` parts row by
+    row, also equal ones, and their right rows repeated for these. Other keys stay as they are."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))  # one row
+    hot = F.broadcast(counts.join(F.broadcast(total), F.col("n") * share > F.col("t")).select(F.col(key).alias("_hot")))
+    marked = lambda df: df.join(hot, F.col(key) == F.col("_hot"), "left")
+    spread = marked(left).withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(salts))).cast("int")).drop("_hot")
+    all_salts = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return spread.join(marked(right).withColumn("_salt", F.explode(all_salts)).drop("_hot"), [key, "_salt"]).drop("_salt")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Iceberg tables without an Iceberg library: metadata JSON, Avro manifests, then Spark's own Parquet reader.
 
-Format versions 1 and 2, current or given snapshot. Refused by name: delete files, data that is not Parquet, tables
-without a snapshot.
+Format versions 1 and 2, current or given snapshot, columns by field id, files pruned by column bounds. Refused by name:
+delete files, data that is not Parquet, tables without a snapshot.
 """
 
 from __future__ import annotations
 
+import datetime
 import json
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Avro:
@@ -119,17 +123,90 @@ def _latest_metadata(spark: SparkSession, table: str) -> str:
     return f"{table}/metadata/{max(found, key=lambda n: (number(n), n))}"
 
 
-def data_files(spark: SparkSession, table: str, snapshot_id: int | None = None) -> list[str]:
-    """The Parquet files of a snapshot. The list is as long as the table has files, as in any catalog."""
+def _spark_type(kind) -> T.DataType:
+    """The Spark type of an Iceberg type; struct fields carry their ids, by which Spark's Parquet reader finds columns."""
+    if isinstance(kind, dict):
+        if kind["type"] == "struct":
+            return T.StructType([T.StructField(f["name"], _spark_type(f["type"]), not f.get("required"), {"parquet.field.id": f["id"]}) for f in kind["fields"]])
+        if kind["type"] == "list":
+            return T.ArrayType(_spark_type(kind["element"]), not kind.get("element-required"))
+        return T.MapType(_spark_type(kind["key"]), _spark_type(kind["value"]), not kind.get("value-required"))
+    if m := re.fullmatch(r"decimal\((\d+), *(\d+)\)", kind):
+        return T.DecimalType(int(m[1]), int(m[2]))
+    if kind.startswith("fixed"):
+        return T.BinaryType()
+    if kind not in _TYPES:
+        raise NotImplementedError(f"Iceberg type {kind} is not read")
+    return _TYPES[kind]
+
+
+#: Iceberg's primitive types.
+_TYPES = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampNTZType(), "timestamptz": T.TimestampType(), "string": T.StringType(), "binary": T.BinaryType()}
+_EPOCH = datetime.date(1970, 1, 1)
+
+
+def _bound(kind, raw: bytes):
+    """A column bound as a value that compares, or None."""
+    if kind == "string":
+        return raw.decode("utf-8", "replace")
+    if kind == "boolean":
+        return raw != b"\0"
+    form = {"int": "<i", "date": "<i", "long": "<q", "timestamp": "<q", "timestamptz": "<q", "float": "<f", "double": "<d"}.get(kind) if isinstance(kind, str) else None
+    return struct.unpack(form, raw)[0] if form and len(raw) == struct.calcsize(form) else None
+
+
+def _comparable(kind: str, value):
+    if kind == "date" and isinstance(value, datetime.date):
+        return (value - _EPOCH).days
+    if kind in ("timestamp", "timestamptz") and isinstance(value, datetime.datetime):
+        zone = datetime.timezone.utc
+        return (value.replace(tzinfo=value.tzinfo or zone) - datetime.datetime(1970, 1, 1, tzinfo=zone)) // datetime.timedelta(microseconds=1)
+    return value
+
+
+def _may_hold(file: dict, fields: dict[str, dict], where: Conditions) -> bool:
+    """False if a file's column bounds rule out every row that ``where`` wants."""
+    low, high = ({e["key"]: e["value"] for e in file.get(b) or []} if isinstance(file.get(b) or [], list) else dict(file[b]) for b in ("lower_bounds", "upper_bounds"))
+    for name, op, value in where:
+        f = fields[name]
+        a, b = (_bound(f["type"], side[f["id"]]) if f["id"] in side else None for side in (low, high))
+        v = _comparable(f["type"], value)
+        if a is not None and (op in ("=", "<=") and a > v or op == "<" and a >= v) or b is not None and (op in ("=", ">=") and b < v or op == ">" and b <= v):
+            return False
+    return True
+
+
+#: (column, one of = < <= > >=, value), all of which must hold.
+Conditions = Sequence[tuple[str, str, object]]
+
+
+def _snapshot(spark: SparkSession, table: str, snapshot_id: int | None) -> tuple[dict, dict]:
     meta = json.loads(_bytes(spark, _latest_metadata(spark, table.rstrip("/"))))
     wanted = snapshot_id if snapshot_id is not None else meta.get("current-snapshot-id", -1)
-    snapshot = next((s for s in meta.get("snapshots", []) if s["snapshot-id"] == wanted), None)
-    if snapshot is None:
+    found = next((s for s in meta.get("snapshots", []) if s["snapshot-id"] == wanted), None)
+    if found is None:
         raise ValueError(f"{table} has no snapshot {wanted}")
+    return meta, found
+
+
+def _schema(meta: dict, snapshot: dict) -> dict | None:
+    """The schema that a snapshot is read with: its own, or the table's current one."""
+    wanted = snapshot.get("schema-id", meta.get("current-schema-id"))
+    return next((s for s in meta.get("schemas", []) if s.get("schema-id") == wanted), meta.get("schema"))
+
+
+def data_files(spark: SparkSession, table: str, snapshot_id: int | None = None, where: Conditions = ()) -> list[str]:
+    """The Parquet files of a snapshot, without those whose column bounds rule out ``where``. The list is as long as the
+    table has files, as in any catalog."""
+    meta, snapshot = _snapshot(spark, table, snapshot_id)
+    fields = {f["name"]: f for f in (_schema(meta, snapshot) or {"fields": []})["fields"]}
     moved = lambda p: p.replace(meta["location"].rstrip("/"), table.rstrip("/"), 1) if p.startswith(meta["location"].rstrip("/")) else p
-    manifests = [m["manifest_path"] for m in avro_records(_bytes(spark, moved(snapshot["manifest-list"]))) if not m.get("content")] if "manifest-list" in snapshot else snapshot["manifests"]
-    if "manifest-list" in snapshot and any(m.get("content") for m in avro_records(_bytes(spark, moved(snapshot["manifest-list"])))):
-        raise NotImplementedError("delete files are not read")
+    manifests = snapshot.get("manifests", [])
+    if "manifest-list" in snapshot:
+        listed = list(avro_records(_bytes(spark, moved(snapshot["manifest-list"]))))
+        if any(m.get("content") for m in listed):
+            raise NotImplementedError("delete files are not read")
+        manifests = [m["manifest_path"] for m in listed]
     files = []
     for manifest in manifests:
         for entry in avro_records(_bytes(spark, moved(manifest))):
@@ -140,11 +217,25 @@ def data_files(spark: SparkSession, table: str, snapshot_id: int | None = None)
                 raise NotImplementedError("delete files are not read")
             if f["file_format"].upper() != "PARQUET":
                 raise NotImplementedError(f"{f['file_format']} data is not read")
-            files.append(moved(f["file_path"]))
-    if not files:
-        raise ValueError(f"snapshot {wanted} of {table} holds no data files")
+            if _may_hold(f, fields, where):
+                files.append(moved(f["file_path"]))
+    if not files and not where:
+        raise ValueError(f"snapshot {snapshot['snapshot-id']} of {table} holds no data files")
     return files
 
 
-def read_iceberg(spark: SparkSession, table: str, snapshot_id: int | None = None) -> DataFrame:
-    return spark.read.parquet(*data_files(spark, table, snapshot_id))
+def read_iceberg(spark: SparkSession, table: str, snapshot_id: int | None = None, where: Conditions = ()) -> DataFrame:
+    """A snapshot's rows that satisfy ``where``. Columns are found by field id, so renamed and added ones read as the
+    schema has them; reading by id is switched on in the session."""
+    files = data_files(spark, table, snapshot_id, where)
+    schema = _schema(*_snapshot(spark, table, snapshot_id))
+    if schema is None:  # metadata without a schema: what the files say
+        df = spark.read.parquet(*files)
+    else:
+        spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")
+        kinds = _spark_type({"type": "struct", "fields": schema["fields"]})
+        df = spark.read.schema(kinds).parquet(*files) if files else spark.createDataFrame([], kinds)
+    compare = {"=": "__eq__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
+    for name, op, value in where:
+        df = df.filter(getattr(F.col(name), compare[op])(F.lit(value)))
+    return df

@@ -61,3 +61,24 @@ def test_distributions(spark):
 def test_refused_functions_say_so(spark):
     with pytest.raises(NotImplementedError):
         one(spark, "spooky_hash_v2_32('x')")
+
+
+def test_braces_in_strings_and_refusals(spark):
+    e = Engine(spark)
+    assert e.sql("SELECT strpos('a{1}', 'b{0}') AS x, split_part('a{*}b', '{*}', 2) AS y").first() == (0, "b")
+    for sql in ("SELECT sum(id) OVER (ORDER BY id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM range(3)", "SELECT sum(id) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING EXCLUDE TIES) FROM range(3)"):
+        with pytest.raises(NotImplementedError):
+            e.sql(sql)
+
+
+def test_not_in_is_three_valued(spark):
+    e = Engine(spark)
+    rows = "(VALUES (1), (2), (NULL)) AS t(x)"
+    for inner, want in (("SELECT 1", [False, True, None]), ("SELECT 1 UNION ALL SELECT NULL", [False, None, None]), ("SELECT 1 WHERE false", [True, True, True])):
+        assert [r[0] for r in e.sql(f"SELECT x NOT IN ({inner}) AS y FROM {rows}").collect()] == want
+        assert e.sql(f"SELECT x FROM {rows} WHERE x NOT IN ({inner})").count() == want.count(True)
+        assert e.sql(f"SELECT x FROM {rows} WHERE NOT (x + 0 NOT IN ({inner}))").count() == want.count(False)
+    correlated = e.sql("SELECT x FROM (VALUES (1), (2)) AS t(x) WHERE x NOT IN (SELECT y FROM (VALUES (1), (2)) AS u(y) WHERE y < t.x)")
+    assert sorted(r[0] for r in correlated.collect()) == [1, 2]
+    plan = e.sql("SELECT id FROM range(9) WHERE id NOT IN (SELECT id FROM range(5))")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "ExistenceJoin" in plan
