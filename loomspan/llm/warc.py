@@ -5,15 +5,18 @@ block is an HTTP message in chunked transfer framing; others are ``revisit`` rec
 ``segment_bytes`` continues in ``continuation`` records. Records go out through Spark's own text writer, whose line
 separator is the blank lines that end a WARC record, so any store that Spark writes to will do.
 
-Reading: files are split at record heads, so one large archive is read by many tasks; a payload that happens to hold a
-record head is told from a record by Content-Length and put together again. Segments are grouped by origin, ordered by
-number, and their length is held against WARC-Segment-Total-Length; then chunked framing is decoded and the payload's
-digest is held against the record's. Whatever does not agree fails the read.
+Reading: WARC/1.0 and 1.1. Files are split at what may be record heads, so one large archive is read by many tasks; a
+payload that happens to hold such text is told from a record by Content-Length and put together again. What lies across the
+border of two tasks' stretches of a file goes, by file and place, to one task that reads it in order, a record at a time.
+Segments are grouped by origin, ordered by number, and their length is held against WARC-Segment-Total-Length; then chunked
+framing is decoded and the payload's digest is held against the record's. Whatever does not agree, and any file that does
+not begin with a record, fails the read.
 
 Defined cases
   null html: the empty payload; null id: read back as null, and never the response while another row has an id; repeated rows
   (equal id and payload): each is read back, all as responses if their id is the smallest; empty table: no records; null
-  or odd URLs: control characters are percent-encoded, a null URL has no WARC-Target-URI; extra columns: ignored.
+  or odd URLs: control characters are percent-encoded, a null URL has no WARC-Target-URI; very long payloads: in segments;
+  ties (equal payloads): the smallest id responds; extra columns: ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .base import BitFilter, Scratch, pieces
 
 HEAD, END = b"WARC/1.1\r\n", b"\r\n\r\n"
+#: Where readers cut, and what follows it in a record of either version.
+CUT, _BEGINS = b"WARC/1.", re.compile(rb"[01]\r\n")
 SEGMENT_BYTES, CHUNK_BYTES = 1 << 20, 8192
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -77,7 +82,7 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 def _cuts(block: bytes, segment_bytes: int) -> list[bytes]:
     """The block in segments; a record head inside it is cut in two, so that readers may split at heads."""
     at = {0, len(block), *range(segment_bytes, len(block), segment_bytes)}
-    at |= {m.start() + 5 for m in re.finditer(re.escape(HEAD), block)}
+    at |= {m.start() + 5 for m in re.finditer(re.escape(CUT), block)}
     edges = sorted(at)
     return [block[a:b] for a, b in zip(edges, edges[1:])] or [b""]
 
@@ -121,43 +126,118 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
 
 
 _RAW = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, origin string, segment int, total long, block binary"
+_PLACE = "path string, start long, nth long, opens boolean, fragment binary"
+
+
+class _Joiner:
+    """Pieces of a stretch of a file, in order, as records."""
+
+    def __init__(self):
+        self.held: bytes | None = None
+
+    def feed(self, piece: bytes) -> dict | None:
+        """The record that ``piece`` completes. The first piece must begin one."""
+        self.held = piece if self.held is None else self.held + CUT + piece
+        head, found, rest = self.held.partition(b"\r\n\r\n")
+        if not found:
+            return None
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
+        if "content-length" not in fields:
+            raise ValueError("a record has no Content-Length")
+        size = int(fields["content-length"])
+        if len(rest) < size:  # what looked like the next record's head belongs to this block
+            return None
+        if rest[size:].strip(b"\r\n"):
+            raise ValueError("a record is longer than its Content-Length")
+        self.held = None
+        number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+        return {
+            "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"),
+            "payload_digest": fields.get("warc-payload-digest"), "refers_to": fields.get("warc-refers-to"),
+            "origin": fields.get("warc-segment-origin-id") or (fields.get("warc-record-id") if number else None),
+            "segment": int(number) if number else None, "total": int(total) if total else None, "block": rest[:size],
+        }
+
+
+def _stretches(spark: SparkSession, path: str) -> DataFrame:
+    """Records that lie in one task's stretch of a file, and, with their place, the fragments at its borders."""
+    lines = spark.read.option("lineSep", CUT.decode()).text(path).select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joiner, here, nth = _Joiner(), None, 0
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under ``path`` as they stand, segments apart."""
-    lines = spark.read.option("lineSep", HEAD.decode()).text(path).select(F.col("value").cast("binary").alias("raw"))
+        def border(piece: bytes, opens: bool) -> dict:
+            return {"path": here[0], "start": here[1], "nth": nth, "opens": opens, "fragment": piece}
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = b""
         for batch in pieces(batches, "raw"):
             out = []
-            for raw in batch.column("raw").to_pylist():
-                if held:
-                    raw, held = held + HEAD + raw, b""
-                if not raw:
-                    continue
-                head, _, rest = raw.partition(b"\r\n\r\n")
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
-                size = int(fields["content-length"])
-                if len(rest) < size:  # what looked like the next record's head belongs to this block
-                    held = raw
+            for raw, *place in zip(batch.column("raw").to_pylist(), batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                if place != here:
+                    if joiner.held is not None:
+                        out.append(border(joiner.held, True))
+                    joiner, here, nth = _Joiner(), place, 0
+                    begun = False
+                    if not place[1]:  # what stands before the first record
+                        if raw.strip():
+                            raise ValueError(f"{place[0]} is no WARC/1.0 or WARC/1.1 archive")
+                        begun = True
+                        continue
+                nth += 1
+                if joiner.held is None and not (_BEGINS.match(raw) and (begun or b"warc-type:" in raw[:8192].lower())):
+                    if begun:
+                        raise ValueError(f"{place[0]} has a record of an unknown version")
+                    out.append(border(raw, False))
                     continue
-                number = fields.get("warc-segment-number")
-                total = fields.get("warc-segment-total-length")
-                out.append({
-                    "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"),
-                    "payload_digest": fields.get("warc-payload-digest"), "refers_to": fields.get("warc-refers-to"),
-                    "origin": fields.get("warc-segment-origin-id") or (fields.get("warc-record-id") if number else None),
-                    "segment": int(number) if number else None, "total": int(total) if total else None, "block": rest[:size],
-                })
+                begun = True
+                if record := joiner.feed(raw):
+                    out.append(record)
+            yield pa.RecordBatch.from_pylist(out, _ARROW_STRETCH)
+        if joiner.held is not None:
+            yield pa.RecordBatch.from_pylist([border(joiner.held, True)], _ARROW_STRETCH)
+
+    return lines.mapInArrow(parse, f"{_RAW}, {_PLACE}")
+
+
+def _mended(fragments: DataFrame) -> DataFrame:
+    """The records across borders: each task reads the fragments of its files in order and holds one record at a time."""
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joiner, file = _Joiner(), None
+        for batch in pieces(batches, "fragment"):
+            out = []
+            for r in batch.to_pylist():
+                if joiner.held is not None and (r["opens"] or r["path"] != file):
+                    raise ValueError(f"{file}: a record ends before its Content-Length")
+                if joiner.held is None and not r["opens"]:
+                    raise ValueError(f"{r['path']} has what belongs to no record")
+                file = r["path"]
+                if record := joiner.feed(r["fragment"]):
+                    out.append(record)
             yield pa.RecordBatch.from_pylist(out, _ARROW_RAW)
-        if held:
-            raise ValueError("a record ends before its Content-Length")
+        if joiner.held is not None:
+            raise ValueError(f"{file}: a record ends before its Content-Length")
 
-    return lines.mapInArrow(parse, _RAW)
+    return fragments.repartition("path").sortWithinPartitions("path", "start", "nth").mapInArrow(mend, _RAW)
 
 
 _ARROW_RAW = pa.schema([*((n, pa.string()) for n in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "origin")), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+_ARROW_STRETCH = pa.schema([*_ARROW_RAW, ("path", pa.string()), ("start", pa.int64()), ("nth", pa.int64()), ("opens", pa.bool_()), ("fragment", pa.binary())])
+
+
+def _parts(spark: SparkSession, path: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Records in one piece, and segments with the records across borders, few of both, which are saved."""
+    stretches = _stretches(spark, path)
+    few = scratch.save(stretches.filter("segment IS NOT NULL OR fragment IS NOT NULL"), "few")
+    columns = [f.name for f in _ARROW_RAW]
+    return stretches.filter("segment IS NULL AND fragment IS NULL").select(*columns), few.filter("fragment IS NULL").select(*columns).unionByName(_mended(few.filter("fragment IS NOT NULL")))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the archives under ``path`` as they stand, segments apart."""
+    whole, few = _parts(spark, path, Scratch(spark, "warc-read"))
+    return whole.unionByName(few)
+
+
 _WHOLE = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary"
 
 
@@ -166,8 +246,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A group here is one record's segments, so its size is that record's.
     """
-    raw = read_records(spark, path)
-    whole = raw.filter("segment IS NULL").select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", F.array(F.struct(F.lit(1).alias("n"), F.col("block").alias("b"))).alias("parts"), F.lit(None).cast("long").alias("total"))
+    alone, raw = _parts(spark, path, Scratch(spark, "warc-read"))
+    whole = alone.unionByName(raw.filter("segment IS NULL")).select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", F.array(F.struct(F.lit(1).alias("n"), F.col("block").alias("b"))).alias("parts"), F.lit(None).cast("long").alias("total"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     parts = raw.filter("segment IS NOT NULL").groupBy("origin").agg(*(first(c) for c in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")), F.collect_list(F.struct(F.col("segment").alias("n"), F.col("block").alias("b"))).alias("parts"), F.max("total").alias("total")).drop("origin")
 
