@@ -2,22 +2,23 @@
 
 The rules, as ``host/path-prefix`` strings, become one file: their 64-bit xxhash keys ascending, offsets, verdicts and
 the strings themselves. The file lies in the shared folder; Spark hands it to every executor, whose workers map it into
-memory. A URL offers each of its host suffixes with each of its path prefixes (only lengths that some rule has); all
-candidates of a batch are hashed and looked up by one vectorised binary search, and a found key counts only if the
-stored string is the candidate itself, so colliding digests change nothing. The longest fitting rule wins.
+memory. A URL offers its host suffixes with its path prefixes (only numbers of host labels and lengths of paths that some
+rule has); all candidates of a batch are hashed and looked up by one vectorised binary search, and a found key counts only
+if the stored string is the candidate itself, so colliding digests change nothing. The longest fitting rule wins.
 
 A rule set over ``MAX_BYTES`` is not shipped: candidates are then joined with the rules by their strings.
 
 Defined cases
   null URL or none with ``://``: host and path are empty and no rule fits; empty URL: likewise; ports and user names stay
   in the host; no rules: the default verdict for all; a rule given twice: blocked wins; rules that are null: ignored;
-  rules of equal length that both fit: that with the longer host; extra columns pass through.
+  rules of equal length that both fit: that with the longer host; repeated rows: judged alike; very long URLs: whole;
+  letters other than A-Z: as they are, also in hosts; empty table: empty result; extra columns pass through, ``out``
+  replaces a column of that name.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import shared_dir, utf8
+from .base import free_name, pieces, shared_dir, utf8
 
 MAX_BYTES = 64 << 20
-_UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_UPPER = bytes.maketrans(_CAPITALS.encode(), _CAPITALS.lower().encode())
 _END_OF_HOST, _END_OF_PATH = re.compile(rb"[/?#]"), re.compile(rb"[?#]")
 
 
@@ -65,18 +67,20 @@ class DigestArray:
         offsets = np.concatenate(([0], np.cumsum([len(r) for _, r in entries], dtype=np.int64))).astype(np.int64)
         flags = np.array([verdict[r] for _, r in entries], np.uint8)
         lengths = np.array(sorted({len(r) - r.index(b"/") if b"/" in r else 0 for r in verdict}), np.int64)
-        head = np.array([len(entries), len(lengths)], np.int64)
-        return b"".join([head.tobytes(), keys.tobytes(), offsets.tobytes(), lengths.tobytes(), flags.tobytes(), *(r for _, r in entries)])
+        labels = np.array(sorted({r.partition(b"/")[0].count(b".") + 1 for r in verdict}), np.int64)
+        head = np.array([len(entries), len(lengths), len(labels)], np.int64)
+        return b"".join([*(x.tobytes() for x in (head, keys, offsets, lengths, labels, flags)), *(r for _, r in entries)])
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n, lengths = (int(x) for x in raw[:16].view(np.int64))
-        cut = np.cumsum([16, 8 * n, 8 * (n + 1), 8 * lengths, n]).tolist()
+        n, lengths, labels = (int(x) for x in raw[:24].view(np.int64))
+        cut = np.cumsum([24, 8 * n, 8 * (n + 1), 8 * lengths, 8 * labels, n]).tolist()
         self.keys = raw[cut[0] : cut[1]].view(np.uint64)
         self.offsets = raw[cut[1] : cut[2]].view(np.int64)
         self.lengths = raw[cut[2] : cut[3]].view(np.int64).tolist()
-        self.blocked = raw[cut[3] : cut[4]]
-        self.strings = raw[cut[4] :]
+        self.labels = raw[cut[3] : cut[4]].view(np.int64).tolist()
+        self.blocked = raw[cut[4] : cut[5]]
+        self.strings = raw[cut[5] :]
 
     def find(self, candidates: list[bytes]) -> np.ndarray:
         """The place of each candidate, or -1."""
@@ -95,12 +99,12 @@ class DigestArray:
         return place
 
 
-def candidates_of(host: bytes, path: bytes, lengths: list[int]) -> list[tuple[bytes, int]]:
-    """(candidate rule, length of its host), for every host suffix and every prefix length that occurs."""
+def candidates_of(host: bytes, path: bytes, labels: list[int], lengths: list[int]) -> list[tuple[bytes, int]]:
+    """(candidate rule, length of its host), for each number of host labels and each prefix length that rules have."""
     if not host:
         return []
-    labels = host.split(b".")
-    hosts = [b".".join(labels[i:]) for i in range(len(labels))]
+    parts = host.rsplit(b".", max(labels, default=0))
+    hosts = [b".".join(parts[-n:]) for n in labels if n < len(parts)] + ([host] if host.count(b".") + 1 in labels else [])
     return [(h + path[:n], len(h)) for h in hosts for n in lengths if n <= len(path)]
 
 
@@ -108,9 +112,15 @@ _JUDGED = T.StructType([T.StructField("host", T.StringType()), T.StructField("pa
 _JUDGED_ARROW = pa.struct([(n, pa.string()) for n in ("host", "path", "rule", "verdict")])
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
 def _ship(spark: SparkSession, packed: bytes) -> str:
-    """Put the array into the shared folder and have every executor, also later ones, fetch it."""
-    name = f"loomspan-urls-{uuid.uuid4().hex}.bin"
+    """Put the array into the shared folder and have every executor, also later ones, fetch it. Its name is its digest's,
+    so an application ships a rule set once; the file goes when the driver's process ends."""
+    name = f"loomspan-urls-{spark.sparkContext.applicationId}-{xxhash.xxh128_hexdigest(packed)}.bin"
+    if (spark.sparkContext.applicationId, name) in _SHIPPED:
+        return name
     target = f"{shared_dir(spark)}/{name}"
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(target)
@@ -118,7 +128,10 @@ def _ship(spark: SparkSession, packed: bytes) -> str:
     for i in range(0, len(packed), 1 << 20):
         stream.write(packed[i : i + (1 << 20)])
     stream.close()
-    spark.sparkContext.addFile(place.makeQualified(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), place).toString())
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(place)
+    spark.sparkContext.addFile(place.makeQualified(files.getUri(), place).toString())
+    _SHIPPED.add((spark.sparkContext.applicationId, name))
     return name
 
 
@@ -144,11 +157,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", rule: st
             _OPEN.clear()
             _OPEN[name] = DigestArray(SparkFiles.get(name))
         array = _OPEN[name]
-        for batch in batches:
+        for batch in pieces(batches, url, rows=4096, limit=1 << 20):
             split = [split_url(u) for u in utf8(batch.column(url))]
             offered, owner = [], []
             for i, (host, path) in enumerate(split):
-                for c in candidates_of(host, path, array.lengths):
+                for c in candidates_of(host, path, array.labels, array.lengths):
                     offered.append(c)
                     owner.append(i)
             best: dict[int, tuple[int, int, int, int]] = {}
@@ -166,17 +179,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", rule: st
 
 def _judge_by_join(pages: DataFrame, rules: DataFrame, url: str, default: str, out: str) -> DataFrame:
     """For rule sets of any size: distinct URLs explode into candidates, which join the rules by string."""
-    normal = F.concat(F.lower(F.regexp_extract("rule", "^[^/]*", 0)), F.regexp_extract("rule", "^[^/]*(.*)$", 1))
+    host = F.substring_index("rule", "/", 1)
+    normal = F.concat(F.translate(host, _CAPITALS, _CAPITALS.lower()), F.expr("substr(rule, length(substring_index(rule, '/', 1)) + 1)"))
     rules = rules.groupBy(normal.alias("candidate")).agg(F.max("blocked").alias("blocked"))
-    lengths = sorted(r["n"] for r in rules.select(F.octet_length(F.regexp_extract("candidate", "^[^/]*(.*)$", 1)).alias("n")).distinct().collect())  # as many as paths have lengths
+    host = F.substring_index("candidate", "/", 1)
+    shapes = rules.select((F.octet_length("candidate") - F.octet_length(host)).alias("n"), (F.regexp_count(host, F.lit(r"\.")) + 1).alias("k")).distinct().collect()  # as many as rules have shapes
+    lengths, labels = sorted({r["n"] for r in shapes}), sorted({r["k"] for r in shapes})
     schema = "u string, host string, path string, candidate string, host_length int"
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "u", rows=1024, limit=1 << 20):
             rows = []
             for u in utf8(batch.column("u")):
                 host, path = split_url(u)
-                for c, n in [*candidates_of(host, path, lengths), (None, 0)]:
+                for c, n in [*candidates_of(host, path, labels, lengths), (None, 0)]:
                     rows.append({"u": u, "host": host, "path": path, "candidate": c, "host_length": n})
             kinds = [pa.field(n, pa.binary()) for n in ("u", "host", "path", "candidate")]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([*kinds, pa.field("host_length", pa.int32())])).cast(pa.schema([*(pa.field(k.name, pa.string()) for k in kinds), pa.field("host_length", pa.int32())]))
@@ -186,7 +202,8 @@ def _judge_by_join(pages: DataFrame, rules: DataFrame, url: str, default: str, o
     best = judged.groupBy("u").agg(F.max(F.struct(F.coalesce(F.octet_length("candidate"), F.lit(-1)), "host_length", "candidate", "blocked", "host", "path")).alias("b"))
     verdict = F.when(F.col("b.candidate").isNull(), F.lit(default)).when(F.col("b.blocked"), F.lit("block")).otherwise(F.lit("allow"))
     best = best.select("u", F.struct(F.col("b.host").alias("host"), F.col("b.path").alias("path"), F.col("b.candidate").alias("rule"), verdict.alias("verdict")).alias(out))
-    return pages.join(best, F.col(url).eqNullSafe(F.col("u"))).drop("u")
+    key = free_name(pages, "u")
+    return pages.join(best.withColumnRenamed("u", key), F.col(url).eqNullSafe(F.col(key))).drop(key)
 
 
 #: The rules of op5.
