@@ -9,26 +9,28 @@ Normalisation: A-Z in lower case, words are runs of digits, a-z and non-ASCII ch
 Defined cases
   null text: no words, stays null; empty text: no words; null or empty item: ignored; repeated items and repeated
   documents: each counted for itself; an item id that is null: reported as the string ``null`` is not, it is ignored;
-  no items: nothing is hit; no documents: an empty result of the same schema; extra columns pass through untouched.
+  no items: nothing is hit; no documents: an empty result of the same schema; very long texts and items: whole, in memory
+  that follows the text; ties (items with the same passage): all are named; extra columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import Scratch, free_name, pieces, utf8
+from .base import BitFilter, Scratch, free_name, pieces, utf8
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else (c + 32 if 0x41 <= c <= 0x5A else 0x20) for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-#: What one automaton holds at most; more items make more blocks, each a pass of its own over the documents.
+#: What one automaton holds at most; more items make more blocks, each a pass of its own over the texts.
 BLOCK_WORDS = 200_000
 
 
@@ -199,73 +201,165 @@ _HITS_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "contamination", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with one more column, ``out``: a struct of n_words, spans (merged, in words) and items (ids as
-    strings, sorted) of what occurs in the document.
+    strings, sorted) of what occurs in the document. ``out`` replaces a column of that name.
 
-    One map over the documents for each block of items, no shuffle. ``out`` replaces a column of that name.
+    One map over the documents, no shuffle, while the items fit one block. Each further block is a pass over the texts
+    that writes down only hits, by the text's digest; one block is broadcast at a time. Texts with such hits are joined
+    with them; the others do not move.
     """
     spark = docs.sparkSession
     docs = docs.drop(out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, _HITS)])
-    scratch = None
-    found = None
-    for n, block in enumerate(_blocks(items, item_id, item_text, block_words)):
-        if found is not None:  # a further pass: what came before is kept in the shared folder
-            scratch = scratch or Scratch(spark, "decontaminate")
-            found = scratch.save(found, f"block-{n}")
-        found = _pass(found if found is not None else docs, spark.sparkContext.broadcast(block), window, text, out, schema)
-    return found if found is not None else _pass(docs, spark.sparkContext.broadcast([]), window, text, out, schema)
-
-
-def _pass(docs: DataFrame, items, window: int, text: str, out: str, schema: T.StructType) -> DataFrame:
+    blocks = _blocks(items, item_id, item_text, block_words)
+    found = _pass(docs, spark.sparkContext.broadcast(next(blocks, [])), window, text, out)
+    scratch, hits = None, None
+    for n, block in enumerate(blocks):
+        scratch = scratch or Scratch(spark, "decontaminate")
+        shared = spark.sparkContext.broadcast(block)
+        saved = scratch.save(_hits(docs, shared, window, text), f"hits-{n}").dropDuplicates(["digest"])
+        shared.destroy()
+        hits = saved if hits is None else hits.unionByName(saved)
+    if hits is None:
+        return found
+    by_text = hits.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    by_text = scratch.save(by_text, "hits")  # a row holds what one text can
+    key, flag, more = (free_name(found, c) for c in ("_digest", "_maybe", "_more"))
+    marked = BitFilter(by_text, "digest").mark(found.withColumn(key, _digest(F.col(text))), key, flag)
+    added = by_text.select(F.col("digest").alias(f"{more}_of"), F.struct("spans", "items").alias(more))
+    touched = marked.filter(flag).join(added, F.col(key) == F.col(f"{more}_of"), "left").drop(f"{more}_of", key, flag)
+    return marked.filter(~F.col(flag)).drop(key, flag).unionByName(_added(touched, more, out))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("string"), 256))
+
+
+def _struct(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> dict:
+    return {"n_words": n_words, "spans": [{"start": s, "stop": e} for s, e in spans], "items": sorted(items)}
+
+
+def _pass(docs: DataFrame, items, window: int, text: str, out: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(items, window)
         for batch in pieces(batches, text):
-            before = batch.column(out).to_pylist() if out in batch.schema.names else [None] * batch.num_rows
             rows = []
-            for body, old in zip(utf8(batch.column(text)), before):
+            for body in utf8(batch.column(text)):
                 words = words_of(body or b"")
                 spans, ids = automaton.scan(words)
-                names = {automaton.items[i] for i in ids}
-                if old:
-                    spans = _merge(spans, [(s["start"], s["stop"]) for s in old["spans"]])
-                    names |= set(old["items"])
-                rows.append({"n_words": len(words), "spans": [{"start": s, "stop": e} for s, e in spans], "items": sorted(names)})
-            kept = [c for c in batch.schema.names if c != out]
+                rows.append(_struct(len(words), spans, {automaton.items[i] for i in ids}))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _HITS_ARROW)], [*batch.schema.names, out])
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(out, _HITS)]))
+
+
+def _hits(docs: DataFrame, items, window: int, text: str) -> DataFrame:
+    """(digest, spans, items) of the texts in which something occurs."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(items, window)
+        for batch in pieces(batches, "body"):
+            rows = []
+            for body in utf8(batch.column("body")):
+                spans, ids = automaton.scan(words_of(body or b""))
+                if spans:
+                    kept = _struct(0, spans, {automaton.items[i] for i in ids})
+                    rows.append({"digest": hashlib.sha256(body).digest(), "spans": kept["spans"], "items": kept["items"]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("digest", pa.binary()), *list(_HITS_ARROW)[1:]]))
+
+    kinds = T.StructType([T.StructField("digest", T.BinaryType()), *_HITS.fields[1:]])
+    return docs.select(F.col(text).cast("string").alias("body")).mapInArrow(scan, kinds)
+
+
+def _added(found: DataFrame, more: str, out: str) -> DataFrame:
+    """``found`` with what ``more`` has put into ``out``."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for old, new in zip(batch.column(out).to_pylist(), batch.column(more).to_pylist()):
+                both = [[(s["start"], s["stop"]) for s in x["spans"]] for x in (old, new or {"spans": []})]
+                rows.append(_struct(old["n_words"], _merge(*both), {*old["items"], *(new["items"] if new else ())}))
+            kept = [c for c in batch.schema.names if c not in (out, more)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, _HITS_ARROW)], [*kept, out])
 
-    return docs.mapInArrow(scan, schema)
+    fields = [f for f in found.schema.fields if f.name not in (out, more)]
+    return found.mapInArrow(add, T.StructType([*fields, T.StructField(out, _HITS)]))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` without what the items contain: matching spans are cut from the text, and a document is dropped
     when the spans cover more than ``max_coverage`` of its words (1.0: never). Documents without a hit are returned
-    as they are. What is left of a cut is searched again until nothing matches, so no window survives across a seam.
+    as they are. What is left of a cut is searched again until nothing matches, so no window survives across a seam:
+    at once where one block holds all items, else in rounds over the documents that were cut.
     ``n_chars``, if the documents have it, follows the new text.
     """
     spark = docs.sparkSession
     out = free_name(docs, "_contamination")
-    found = find_contamination(docs, items, window=window, text=text, out=out, **options)
-    kept = found.filter((F.size(f"{out}.spans") == 0) | (F.expr(f"aggregate(`{out}`.spans, 0L, (a, s) -> a + s.stop - s.start)") <= F.col(f"{out}.n_words") * max_coverage))
-    schema = docs.schema
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("block_words", BLOCK_WORDS))]
+    blocks = _blocks(items, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("block_words", BLOCK_WORDS))
+    only, several = next(blocks, []), next(blocks, None) is not None
+    find = lambda df: find_contamination(df, items, window=window, text=text, out=out, **options)
+    covered = F.expr(f"aggregate(`{out}`.spans, 0L, (a, s) -> a + s.stop - s.start)") <= F.col(f"{out}.n_words") * max_coverage
+    clean = F.size(f"{out}.spans") == 0
+    if not several:
+        return _kept_and_cut(docs, spark.sparkContext.broadcast(only), window, max_coverage, text, n_chars)
+    scratch = Scratch(spark, "decontaminate-rounds")
+    done, left, n = None, docs, 0
+    while done is None or not left.isEmpty():
+        found = scratch.save(find(left).filter(clean | covered) if done is None else find(left), f"found-{n}")
+        fine = found.filter(clean).select(*docs.columns)
+        done = fine if done is None else done.unionByName(fine)
+        left, n = scratch.save(_cut_texts(found.filter(~clean), docs.schema, out, text, n_chars), f"left-{n}"), n + 1
+    return done
+
+
+def _with_texts(batch: pa.RecordBatch, names: list[str], new: dict[int, str], text: str, n_chars: str | None) -> pa.RecordBatch:
+    """The columns ``names`` of a batch, with new texts for some rows."""
+    columns = {c: batch.column(c) for c in names}
+    if new:
+        texts = columns[text].to_pylist()
+        sizes = columns[n_chars].to_pylist() if n_chars in columns else []
+        for i, t in new.items():
+            texts[i] = t
+            if sizes:
+                sizes[i] = len(t)
+        columns[text] = pa.array(texts, columns[text].type)
+        if sizes:
+            columns[n_chars] = pa.array(sizes, columns[n_chars].type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _kept_and_cut(docs: DataFrame, items, window: int, max_coverage: float, text: str, n_chars: str | None) -> DataFrame:
+    """One map: a text is scanned, kept, dropped or cut until none of the block's items match."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _automaton(items, window).scan
+        for batch in pieces(batches, text):
+            keep, new = [], {}
+            for i, body in enumerate(utf8(batch.column(text))):
+                words = words_of(body or b"")
+                spans, _ = scan(words)
+                keep.append(sum(b - a for a, b in spans) <= len(words) * max_coverage or not spans)
+                if spans and keep[-1]:
+                    new[i] = _without(body, spans, scan).decode("utf-8", "replace")
+            out = _with_texts(batch, names, new, text, n_chars)
+            yield out if all(keep) else out.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cut_texts(found: DataFrame, schema: T.StructType, out: str, text: str, n_chars: str | None) -> DataFrame:
+    """``found`` with its spans cut from its texts, once."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            spans = batch.column(out).to_pylist()
-            body = batch.column(text)
-            columns = {c: batch.column(c) for c in schema.names}
-            if any(s["spans"] for s in spans):
-                texts = [_without(t, [(s["start"], s["stop"]) for s in x["spans"]], blocks, window) if x["spans"] else t for t, x in zip(utf8(body), spans)]
-                columns[text] = pa.array([t if t is None else t.decode("utf-8", "replace") for t in texts], body.type)
-                if n_chars in columns:
-                    old = columns[n_chars].to_pylist()
-                    columns[n_chars] = pa.array([len(t.decode("utf-8", "replace")) if x["spans"] else o for t, x, o in zip(texts, spans, old)], columns[n_chars].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            spans = [[(s["start"], s["stop"]) for s in x["spans"]] for x in batch.column(out).to_pylist()]
+            new = {i: _without(t, s, None).decode("utf-8", "replace") for i, (t, s) in enumerate(zip(utf8(batch.column(text)), spans)) if s}
+            yield _with_texts(batch, schema.names, new, text, n_chars)
 
-    return kept.mapInArrow(cut, schema)
+    return found.mapInArrow(cut, schema)
 
 
-def _without(text: bytes, spans: list[tuple[int, int]], blocks: list, window: int) -> bytes:
+def _without(text: bytes, spans: list[tuple[int, int]], again) -> bytes:
     while spans:
         at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         parts, last = [], 0
@@ -274,10 +368,7 @@ def _without(text: bytes, spans: list[tuple[int, int]], blocks: list, window: in
             last = at[e - 1][1]
         parts.append(text[last:])
         text = b" ".join(p for p in parts if p)
-        words = words_of(text)
-        spans = []
-        for block in blocks:
-            spans = _merge(spans, _automaton(block, window).scan(words)[0])
+        spans = again(words_of(text))[0] if again else []
     return text
 
 
