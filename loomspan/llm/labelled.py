@@ -1,11 +1,18 @@
-"""Bounded labelled samples, shared by the classifiers."""
+"""Bounded labelled samples, shared by the classifiers.
+
+Defined cases
+  null ids and labels other than 0 and 1: not learned from; an id labelled twice: the larger label holds; documents that
+  share an id: each is learned from; null texts: as empty ones; very long texts: learned from whole, within the bound on
+  the sample's bytes; ties in the hash of an id: by the id; empty tables: an empty sample; clashing column names: avoided.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import free_name, held_out
+from .base import held_out
 
 
 def class_totals(labels: DataFrame, label: str, id_column: str = "doc_id") -> tuple[int, int]:
@@ -21,13 +28,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     ``2 * per_class`` whatever the table's; that bound is what makes broadcasting the ids safe.
     """
     y = F.col(label).cast("int")
-    known = labels.filter(F.col(id_column).isNotNull() & ~held_out(F.col(id_column))).select(F.col(id_column).alias("_id"), y.alias("y"), F.xxhash64(F.col(id_column), F.lit(11)).alias("order"))
+    known = labels.filter(F.col(id_column).isNotNull() & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("_id")).agg(F.max(y).alias("y")).withColumn("order", F.xxhash64("_id", F.lit(11)))
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("y") == value).orderBy("order", "_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    body = free_name(docs, "_body")
-    return docs.select(F.col(id_column).alias("_doc"), F.col(text).cast("string").alias(body)).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("order", F.coalesce(body, F.lit("")).alias("body"), "y")
+    read = docs.select(F.col(id_column).alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    return read.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("order", "body", "y")
+
+
+def within(features: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """Of each label (``y``) the rows in ``order``, as long as the bytes of ``columns`` add up to ``limit`` at most."""
+    size = sum((F.octet_length(c) for c in columns), F.lit(0).cast("long"))
+    so_far = F.sum(size).over(W.partitionBy("y").orderBy("order", *columns).rowsBetween(W.unboundedPreceding, 0))
+    return features.withColumn("so_far", so_far).filter(F.col("so_far") <= limit).drop("so_far")
 
 
 def prior_shift(totals: tuple[int, int], sampled: tuple[int, int]) -> float:

@@ -2,7 +2,8 @@
 
 A word is its own hashed vector and those of its character n-grams, averaged; a document is the average of its words;
 a softmax layer tells good from bad. All vectors are learned together by stochastic gradient descent in numpy on at
-most ``per_class`` labelled rows of each label (see ``labelled_sample``). Words keep case and punctuation, which is
+most ``per_class`` labelled rows of each label and ``sample_bytes`` of their features (see ``labelled_sample`` and
+``within``), which bounds what reaches the driver. Words keep case and punctuation, which is
 where much of the difference lies. A word pair of two equal words counts as one more word, ``REPEAT``, with a vector of
 its own: repetition is what no single word shows.
 
@@ -11,7 +12,9 @@ softmax layer is one number, and a word's contribution is computed once and reme
 
 Defined cases
   null text: scored as the empty text, which gets the prior; no labels of one kind: every score is the smoothed prior;
-  repeated rows: each scored; empty table: empty result; extra columns pass through ``score_quality``.
+  repeated rows: each scored alike; very long texts and words: read whole, in memory that follows the text; ties: equal
+  texts have equal scores, and rows are learned from in an order set by their id's hash and the seed; empty table: empty
+  result; extra columns pass through ``score_quality``, whose ``out`` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import Memo, held_out, pieces, utf8
-from .labelled import class_totals, labelled_sample, prior_shift
+from .labelled import class_totals, labelled_sample, prior_shift, within
 
 BITS, DIM, MIN_GRAM, MAX_GRAM, PER_CLASS, EPOCHS, RATE = 16, 8, 2, 4, 2000, 6, 2.0
+#: Bytes of features of each label that the learner reads at most.
+SAMPLE_BYTES = 24 << 20
 #: Bytes. Longer words are not remembered, and their n-grams are hashed in blocks of ``BLOCK`` bytes.
 MEMO_WORD, BLOCK = 126, 1 << 16
 #: No text has this word: words have no white space.
@@ -107,7 +112,7 @@ def word_logits(folded: np.ndarray) -> Memo:
         b = buckets_of(word)
         return sum([fold[i] for i in b]) / len(b)
 
-    return Logits(compute)
+    return Logits(compute, 250_000)
 
 
 def document_features(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
@@ -160,8 +165,8 @@ def train_embeddings(rows: list[tuple[np.ndarray, np.ndarray, int]], *, dim: int
     return QualityModel(folded.astype(np.float32), float(bias[1] - bias[0]) + shift)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_column: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, **options) -> QualityModel:
-    """Learn from at most ``2 * per_class`` documents outside the held-out fold."""
+def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_column: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES, **options) -> QualityModel:
+    """Learn from documents outside the held-out fold: of each label ``per_class`` rows and ``sample_bytes`` at most."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(buckets_of, 50_000)
@@ -171,7 +176,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", i
             yield pa.RecordBatch.from_arrays(arrays, ["order", "y", "idx", "share"])
 
     sample = labelled_sample(docs, labels, label, per_class, id_column=id_column, text=text)
-    rows = sorted((r["order"], r["y"], bytes(r["idx"]), bytes(r["share"])) for r in sample.mapInArrow(features, "order long, y int, idx binary, share binary").collect())  # 2 * per_class rows at most
+    found = within(sample.mapInArrow(features, "order long, y int, idx binary, share binary"), ["idx", "share"], sample_bytes)
+    rows = sorted((r["order"], r["y"], bytes(r["idx"]), bytes(r["share"])) for r in found.collect())  # 2 * sample_bytes at most
     totals = class_totals(labels, label, id_column)
     sampled = (sum(r[1] == 0 for r in rows), sum(r[1] == 1 for r in rows))
     if min(sampled) == 0:

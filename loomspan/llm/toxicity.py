@@ -3,12 +3,15 @@
 Features of a text are the distinct hashes of its words, word pairs and pairs with one word between, and of the words
 cut to ``STEM`` bytes, which brings inflected forms of a word together. Training keeps
 FTRL's per-coordinate learning rates; its L1 term leaves few weights that are not zero, and only those are broadcast.
-The learner reads at most ``per_class`` labelled rows of each label (see ``labelled_sample``); the class counts that
-set the prior cover all labelled rows.
+The learner reads at most ``per_class`` labelled rows of each label, and at most ``sample_bytes`` of their features (see
+``labelled_sample`` and ``within``), which bounds what reaches the driver; the class counts that set the prior cover all
+labelled rows.
 
 Defined cases
   null text: scored as the empty text, which gets the prior; no labels of one kind: every score is the smoothed prior;
-  repeated rows: each scored; empty table: empty result; extra columns pass through ``score_toxicity``.
+  repeated rows: each scored alike; very long texts: read whole, in memory that follows the text; ties: equal feature sets
+  have equal scores, and rows are learned from in the order of their id's hash; empty table: empty result; extra columns
+  pass through ``score_toxicity``, whose ``out`` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql import types as T
 
 from .base import Memo, held_out, pieces, utf8
 from .decontamination import words_of
-from .labelled import class_totals, labelled_sample, prior_shift
+from .labelled import class_totals, labelled_sample, prior_shift, within
 
 BITS, PER_CLASS, EPOCHS = 20, 4000, 3
+#: Bytes of features of each label that the learner reads at most: four bytes a feature.
+SAMPLE_BYTES = 24 << 20
 STEM = 4
 
 
@@ -80,8 +85,8 @@ def train_ftrl(rows: list[tuple[np.ndarray, int]], *, bits: int = BITS, epochs:
     return FtrlModel(live.astype(np.int32), w[live].astype(np.float32), -bias_z / ((beta + math.sqrt(bias_n)) / alpha) + shift)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, **options) -> FtrlModel:
-    """Learn from at most ``2 * per_class`` documents outside the held-out fold."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES, **options) -> FtrlModel:
+    """Learn from documents outside the held-out fold: of each label ``per_class`` rows and ``sample_bytes`` at most."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
@@ -90,7 +95,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id
             yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.array(idx, pa.binary())], ["order", "y", "idx"])
 
     sample = labelled_sample(docs, labels, label, per_class, id_column=id_column, text=text)
-    rows = sorted((r["order"], r["y"], bytes(r["idx"])) for r in sample.mapInArrow(features, "order long, y int, idx binary").collect())  # 2 * per_class rows at most
+    found = within(sample.mapInArrow(features, "order long, y int, idx binary"), ["idx"], sample_bytes)
+    rows = sorted((r["order"], r["y"], bytes(r["idx"])) for r in found.collect())  # 2 * sample_bytes at most
     totals = class_totals(labels, label, id_column)
     sampled = (sum(y == 0 for _, y, _ in rows), sum(y == 1 for _, y, _ in rows))
     if min(sampled) == 0:
