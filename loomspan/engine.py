@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .functions import pyfuncs
 from .operators import vector
-from .plans.dialect import translate
+from .plans.dialect import tokens, translate
+from .plans.division import integer_divisions
 from .session import TABLES, build_session
 
 
@@ -70,12 +71,15 @@ class Engine:
     def sql(self, sql: str) -> DataFrame:
         text = self.translate(sql)
         try:
-            return self.spark.sql(text)
+            df = self.spark.sql(text)
         except AnalysisException:
             plain = self.translate(sql, joined_not_in=False)
             if plain == text:
                 raise
-            return self.spark.sql(plain)  # a NOT IN whose subquery refers to the query around it
+            text, df = plain, self.spark.sql(plain)  # a NOT IN whose subquery refers to the query around it
+        while (turned := integer_divisions(df, text, tokens(text))) is not None:
+            text, df = turned, self.spark.sql(turned)
+        return df
 
     # vectors
 

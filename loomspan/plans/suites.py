@@ -18,6 +18,7 @@ add("filter_ilike_escape", "SELECT p_partkey FROM part WHERE p_type ILIKE 'e%Y'
 add("null_logic", "SELECT count(*) AS n, count(x) AS n_x, count(CASE WHEN x IS NULL THEN 1 END) AS n_null, count(CASE WHEN x IS DISTINCT FROM 'F' THEN 1 END) AS n_not_f, count(CASE WHEN x IS NOT DISTINCT FROM NULL THEN 1 END) AS n_same_null, count(CASE WHEN x = 'F' OR NULL THEN 1 END) AS kleene FROM (SELECT nullif(o_orderstatus, 'O') AS x FROM orders)")
 add("case_expressions", "SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS simple, CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS searched, o_orderkey FROM orders")
 add("arithmetic", "SELECT l_orderkey, l_linenumber, l_quantity + 1 AS a, l_quantity - 1 AS b, l_quantity * 2 AS c, round(l_extendedprice / l_quantity, 9) AS d, l_orderkey % 7 AS e, -l_orderkey AS f FROM lineitem")
+add("arithmetic_integer_division", "SELECT l_orderkey, l_linenumber, l_orderkey / 7 AS a, (0 - l_orderkey) / l_linenumber AS b, l_orderkey / 2 / 3 AS c, l_quantity / 2 AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS a, -(l_orderkey // l_linenumber) AS b, l_orderkey // 2 // 3 AS c, l_quantity / 2 AS d FROM lineitem")
 add("cast_and_try_cast", "SELECT count(TRY_CAST(s AS INTEGER)) AS n_int, sum(CAST(CAST(l_quantity AS INTEGER) AS BIGINT)) AS q FROM (SELECT l_quantity, CASE WHEN l_orderkey % 3 = 0 THEN 'x' ELSE CAST(l_orderkey AS VARCHAR) END AS s FROM lineitem)", "SELECT count(TRY_CAST(s AS INTEGER)) AS n_int, CAST(sum(CAST(CAST(l_quantity AS INTEGER) AS BIGINT)) AS BIGINT) AS q FROM (SELECT l_quantity, CASE WHEN l_orderkey % 3 = 0 THEN 'x' ELSE CAST(l_orderkey AS VARCHAR) END AS s FROM lineitem)")
 add("concat_operator", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS VARCHAR) AS tag FROM nation")
 add("date_interval", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL '3' MONTH AS DATE) AS later, CAST(o_orderdate AS DATE) - INTERVAL '10' DAY < DATE '1997-01-01' AS early FROM orders")
