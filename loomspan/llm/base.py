@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -18,46 +20,71 @@ HELD_OUT = 2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir. Where it is unset: on one machine (tests) a folder of our
+    own, on a cluster one in the warehouse, never a machine-local one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="loomspan-shared-")
+        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        path = tempfile.mkdtemp(prefix="loomspan-shared-") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_loomspan"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: While a table is saved: shuffle files go as soon as it has been written, and batches sent to Python stay small.
+_SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, so that a lost executor costs no recomputation
-    beyond its own tasks. ``drop`` frees one early; the rest goes when the driver's process ends, or with
-    ``release``, which a caller may use once everything that reads the tables has been written elsewhere."""
+    beyond its own tasks. ``drop`` frees one early; the rest goes when the driver's process ends, or with ``close``, once
+    everything that reads the tables has been written elsewhere. ``collected`` notes what is made within it, for a caller
+    who closes what operators leave."""
 
-    live: list[Scratch] = []
+    _notes: ContextVar[list[Scratch] | None] = ContextVar("loomspan_scratch", default=None)
 
     @classmethod
-    def release(cls) -> None:
-        while cls.live:
-            old = cls.live.pop()
-            old._remove(old.root)
+    @contextmanager
+    def collected(cls, into: list[Scratch]) -> Iterator[None]:
+        token = cls._notes.set(into)
+        try:
+            yield
+        finally:
+            cls._notes.reset(token)
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomspan-{label}-{uuid.uuid4().hex}"
-        self.live.append(self)
-        atexit.register(self._remove, self.root)
+        if (notes := self._notes.get()) is not None:
+            notes.append(self)
+        atexit.register(self.close)
 
     def save(self, df: DataFrame, name: str, partition_by: Iterable[str] = (), **options: str) -> DataFrame:
         """Write ``df`` as Parquet and return the reread table."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").options(**options).partitionBy(*partition_by).parquet(path)
+        with _settings(self.spark, _SAVING):
+            df.write.mode("overwrite").options(**{"parquet.block.size": str(32 << 20)} | options).partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more, and have Spark's cleaner release the shuffle files of what has
-        been written: it goes by the driver's garbage, which can be long in coming."""
+        """Delete tables that nothing reads any more."""
         for name in names:
             self._remove(f"{self.root}/{name}")
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+
+    def close(self) -> None:
+        self._remove(self.root)
+        atexit.unregister(self.close)
 
     def _remove(self, path: str) -> None:
         try:
@@ -103,15 +130,37 @@ class BitFilter:
         return word, one(40).bitwiseOR(one(50))
 
     def mark(self, df: DataFrame, column: str, flag: str) -> DataFrame:
-        """Add ``flag``: whether the row's key may be among ``keys``."""
+        """Add ``flag``: whether the row's key may be among ``keys``. No other column of ``df`` changes, whatever its name."""
         word, mask = self._place(F.xxhash64(F.col(column)))
-        joined = df.withColumns({"_bf_probe": word, "_bf_want": mask}).join(F.broadcast(self.words), F.col("_bf_probe") == F.col("_bf_word"), "left")
-        hit = F.coalesce(F.col("_bf_bits").bitwiseAND(F.col("_bf_want")) == F.col("_bf_want"), F.lit(False))
-        return joined.withColumn(flag, hit).drop("_bf_probe", "_bf_want", "_bf_word", "_bf_bits")
+        probe, want, at, bits = (free_name(df, f"_bf_{n}") for n in ("probe", "want", "word", "bits"))
+        words = self.words.select(F.col("_bf_word").alias(at), F.col("_bf_bits").alias(bits))
+        joined = df.withColumns({probe: word, want: mask}).join(F.broadcast(words), F.col(probe) == F.col(at), "left")
+        hit = F.coalesce(F.col(bits).bitwiseAND(F.col(want)) == F.col(want), F.lit(False))
+        return joined.withColumn(flag, hit).drop(probe, want, at, bits)
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         """The rows whose key may be among ``keys``."""
-        return self.mark(df, column, "_bf_hit").filter("_bf_hit").drop("_bf_hit")
+        flag = free_name(df, "_bf_hit")
+        return self.mark(df, column, flag).filter(flag).drop(flag)
+
+
+#: A key with more than one in so many of all rows is hot; no more than so many keys can be.
+HOT_SHARE = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and in ``rows`` how many rows of ``left`` have it.
+
+    The hot keys, ``HOT_SHARE`` at most whatever the data, are broadcast, so that their rows stay where they are; the
+    others are dealt out by key, of which none then holds more than that share of all rows.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col(rows) * HOT_SHARE > total
+    columns = [c for c in right.columns if c not in on]
+    hot = F.broadcast(right.filter(is_hot))
+    in_hot = left.join(hot, on, "inner")
+    rest = left.join(F.broadcast(right.filter(is_hot).select(*on)), on, "left_anti").join(right.filter(~is_hot), on, how)
+    return in_hot.select(*left.columns, *columns).unionByName(rest.select(*left.columns, *columns))
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, id_column: str) -> DataFrame:
@@ -151,7 +200,7 @@ class Memo(dict):
     """A function's results, remembered in two generations of at most ``limit`` keys: memory is bounded, and what is
     used again survives."""
 
-    def __init__(self, compute, limit: int = 250_000):
+    def __init__(self, compute, limit: int = 50_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 

@@ -2,6 +2,9 @@
 
 A node with very many links is never gathered: each step takes the minimum of a node's neighbours by a map-side
 aggregation and joins it back, a row per link. Every round is written to the shared folder, which cuts the lineage.
+
+Defined cases
+  links of a node with itself and links with a null end: no rows; repeated and turned links: as one; no links: empty result.
 """
 
 from __future__ import annotations

@@ -32,7 +32,9 @@ Elements are 64-bit hashes of shingles; an element is taken for equal when its h
 Defined cases
   null and empty texts, and texts without words: size 0, linked with nothing, a component each; fewer words than a
   shingle: the whole sequence is the one element; repeated rows: a result row each; an id with different texts: each row has its own
-  size, the largest set is the one whose links count; null ids: a row each, in a component of their own (null); empty table: empty result.
+  size, the largest set is the one whose links count; null ids: a row each, in a component of their own (null); ties: the smallest
+  id stands for a class; very long texts: their sets whole, in memory that follows the text; empty table: empty result; extra
+  columns: pass through ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import BitFilter, Memo, Scratch, pieces, utf8, without_ids
+from .base import BitFilter, Scratch, join_unique, pieces, utf8, without_ids
 from .components import components
 
 #: Elements and members of one unit of step 3: what one task holds at a time.
@@ -68,16 +70,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_memo() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
-
-
-def shingle_set(text: bytes | None, n: int, memo: Memo) -> np.ndarray:
+def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the ``n``-word shingles; A-Z in lower case, words without ASCII white space."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, np.uint64(width))
     for i in range(width):
@@ -191,11 +189,10 @@ def _sketches(docs: DataFrame, id_column: str, text: str, n: int, percent: int)
     """A row for each row: the set's size, a 128-bit digest of the set, its signatures by scheme."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in pieces(batches, "body"):
             sizes, keys, counts, bands, slacks, sigs, inner, outer = [], [], [], [], [], [np.zeros(0, np.int64)], [0], [0]
             for t in utf8(batch.column("body")):
-                s = shingle_set(t, n, memo)
+                s = shingle_set(t, n)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh128_digest(s.tobytes()))
                 counts.append(count_sketch(s))
@@ -216,9 +213,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, n: int)
     """(id, elements) of the documents with an id in ``wanted``; the text of no other document moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for batch in pieces(batches, "body"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t, n, memo).tobytes() for t in utf8(batch.column("body"))], pa.binary())], ["id", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t, n).tobytes() for t in utf8(batch.column("body"))], pa.binary())], ["id", "elements"])
 
     body = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
     near = BitFilter(wanted, "id").keep(body, "id").select("id", "body")
@@ -254,9 +250,9 @@ def _star_round(live: DataFrame, sketches: DataFrame, docs: DataFrame, scratch:
 def _settle(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between members with different labels."""
     m = len(ids)
-    sizes = np.array([len(s) for s in sets], np.float32)
+    sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), sizes.astype(np.int64))
+    owner = np.repeat(np.arange(m), sizes)
     _, column, df = np.unique(flat, return_inverse=True, return_counts=True)
     shared = df[column] > 1  # an element of one member is in no intersection
     column, owner = column[shared], owner[shared]
@@ -270,7 +266,8 @@ def _settle(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent
         block = np.zeros((m, width), np.float32)
         block[owner[a:b], column[a:b] - at] = 1.0
         both += block @ block.T
-    links = both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both)
+    shared = both.astype(np.int64)  # counts under 2**24, exact so far
+    links = shared * 100 >= percent * (sizes[:, None] + sizes[None, :] - shared)
     root = {int(x): int(x) for x in np.unique(labels)}
 
     def find(x: int) -> int:
@@ -350,8 +347,8 @@ def similarity_classes(docs: DataFrame, *, id_column: str = "doc_id", text: str
     rows = scratch.save(_sketches(docs, id_column, text, n, percent), "sketches")
     known = rows.filter("n > 0 AND id IS NOT NULL")
     # Equal sets: one class, of which the smallest id stands for all.
-    classes = known.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    member = scratch.save(known.select("id", "key").join(classes, "key").groupBy("id", "rep").agg(F.max("n").alias("n")), "members")
+    classes = scratch.save(known.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
+    member = scratch.save(join_unique(known.select("id", "key"), classes, ["key"], "rows").groupBy("id", "rep").agg(F.max("n").alias("n")), "members")
     copies = member.groupBy("id").agg(F.bool_and(F.col("id") != F.col("rep")).alias("copy")).filter("copy").select("id")
     copies = scratch.save(copies, "copies")
     # Buckets with two sets or more; signatures that only one set has go before they are shuffled again.
