@@ -9,21 +9,27 @@ SHA-256 of a normalised text to the smallest document id and the number of rows:
   lookups;
 * *compaction* merges ``fanout`` runs at a time into the next level, keeping the smallest id and adding up counts,
   until one run is left;
-* *hits*, rows whose digest has more than one row, are verified by their bytes: their texts are read again (found by a
-  fixed-size bit filter on the id, so no other text moves) and grouped by digest **and** text.
+* *hits*, rows whose digest has more than one row, take the smallest id and the count from the index, once verified by
+  their bytes: their texts are read again (found by a fixed-size bit filter on the id, so no other text moves) and grouped
+  by digest **and** text; a digest must have one text, in as many rows as the index says;
+* ``lookup`` asks the index for single texts: the sorted run's statistics and Bloom filter leave out what cannot hold them.
 
 Defined cases
   null text: as the empty text; null id: counts in its group, never stays unless the whole group has none; repeated
-  ids in a group: each of these rows is marked as kept (``deduplicate`` returns one); empty table: empty result; extra
-  columns: pass through ``deduplicate``, names that clash with the columns made here are avoided.
+  ids in a group: each of these rows is marked as kept (``deduplicate`` returns one); an id with several texts: told apart by
+  the text; very long texts: whole, a row each;
+  empty table: empty result; extra columns: pass through ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import BitFilter, Scratch, free_name, without_ids
+from .base import BitFilter, Scratch, free_name, join_unique
 
 #: Rows of a memtable, and the most memtables that are flushed before they grow instead.
 MEMTABLE_ROWS, MAX_RUNS, FANOUT = 1 << 17, 16, 4
@@ -39,7 +45,7 @@ class MergeIndex:
     def __init__(self, docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id", text: str = "text", memtable_rows: int = MEMTABLE_ROWS, max_runs: int = MAX_RUNS, fanout: int = FANOUT):
         self.scratch = scratch
         norm = docs.select(F.col(id_column).alias("id"), normalised(F.col(text)).alias("norm"))
-        self.keys = scratch.save(norm.select("id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.xxhash64("norm").alias("check")), "keys")
+        self.keys = scratch.save(norm.select("id", F.unhex(F.sha2("norm", 256)).alias("digest")), "keys")
         self.runs = max(1, min(max_runs, -(-self.keys.count() // memtable_rows)))
         self.entries = self._flush()
         level = 0
@@ -60,9 +66,16 @@ class MergeIndex:
         merged = self.entries.groupBy((F.col("run") / fanout).cast("int").alias("to"), "digest").agg(F.min("min_id").alias("min_id"), F.sum("n").alias("n"))
         return self._write(merged.select("digest", "min_id", "n", F.col("to").alias("run")), level)
 
+    def lookup(self, texts: list[str | None]) -> dict[str | None, tuple]:
+        """(smallest id, rows) of those of a few texts that the index knows."""
+        digests = {t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).digest() for t in texts}
+        found = self.entries.filter(F.col("digest").isin([bytearray(d) for d in set(digests.values())])).select("digest", "min_id", "n").collect()  # as many as texts
+        rows = {bytes(r["digest"]): (r["min_id"], r["n"]) for r in found}
+        return {t: rows[d] for t, d in digests.items() if d in rows}
+
     def hits(self) -> DataFrame:
         """The rows whose digest others share too."""
-        return self.keys.join(self.entries.filter("n > 1").select("digest"), "digest")
+        return join_unique(self.keys, self.entries.filter("n > 1").select("digest", "n"), ["digest"], "n")
 
 
 def exact_groups(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -72,12 +85,14 @@ def exact_groups(docs: DataFrame, *, id_column: str = "doc_id", text: str = "tex
     body = docs.select(F.col(id_column).alias("id"), F.col(text).alias("body"))
     again = BitFilter(index.hits(), "id").keep(body, "id").select("id", normalised(F.col("body")).alias("norm"))
     # Grouping by the text itself compares bytes; map-side aggregation leaves one copy of a text per task.
-    verified = again.groupBy(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    verified = verified.select("digest", F.xxhash64("norm").alias("check"), "keep_id", "group_size")
-    # Two texts with equal SHA-256 and equal check value would meet here; that is reported, not passed over.
-    unique = verified.groupBy("digest", "check").agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
-    unique = scratch.save(unique.select("digest", "check", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts share both digests")).cast("long")).alias("group_size")).filter("group_size > 1"), "verified")
-    out = index.keys.join(unique, ["digest", "check"], "left")
+    verified = again.groupBy(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm").agg(F.count(F.lit(1)).alias("of_text"))
+    verified = verified.groupBy("digest").agg(F.max("of_text").alias("of_text"), F.count(F.lit(1)).alias("texts"))
+    entries = index.entries.filter("n > 1").select("digest", "min_id", "n")
+    agreed = (F.col("texts") == 1) & (F.col("of_text") == F.col("n"))
+    # Two texts with equal SHA-256 would show here; that is reported, not passed over.
+    known = entries.join(verified, "digest", "left").select("digest", F.col("min_id").alias("keep_id"), F.when(agreed, F.col("n")).otherwise(F.raise_error(F.lit("the index and the texts disagree")).cast("long")).alias("group_size"))
+    known = scratch.save(known, "verified")
+    out = join_unique(index.keys, known, ["digest"], "group_size", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select("id", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"))
 
@@ -86,13 +101,16 @@ def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text: str = "text
     """``docs`` with one row of each group of equal texts: that with the smallest id."""
     scratch = Scratch(docs.sparkSession, "deduplicate")
     groups = exact_groups(docs, id_column=id_column, text=text, **options)
-    gone = scratch.save(groups.filter("NOT kept").select("id").distinct(), "gone")
-    kept = without_ids(docs, gone, id_column)
-    # Rows of one id with one text: few, so only those that may be such are compared.
-    twice = scratch.save(groups.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "twice")
-    flag = free_name(docs, "_twice")
-    marked = BitFilter(twice, "id").mark(kept, id_column, flag)
-    return marked.filter(~F.col(flag)).unionByName(marked.filter(flag).dropDuplicates([id_column])).select(*docs.columns)
+    gone = scratch.save(groups.filter("NOT kept").select("id", "digest").distinct(), "gone")
+    # Rows of one id with one text, of which one stays: few, so only those that may be such, or may go, are joined.
+    twice = groups.filter("kept").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    maybe = scratch.save(gone.select("id").unionByName(twice).distinct(), "maybe")
+    flag, digest, g_id, g_digest = (free_name(docs, c) for c in ("_maybe", "_digest", "_gone_id", "_gone_digest"))
+    marked = BitFilter(maybe, "id").mark(docs, id_column, flag)
+    some = marked.filter(flag).withColumn(digest, F.unhex(F.sha2(normalised(F.col(text)), 256)))
+    gone = gone.select(F.col("id").alias(g_id), F.col("digest").alias(g_digest))
+    left = some.join(gone, F.col(id_column).eqNullSafe(F.col(g_id)) & (F.col(digest) == F.col(g_digest)), "left_anti")
+    return marked.filter(~F.col(flag)).select(*docs.columns).unionByName(left.dropDuplicates([id_column, digest]).select(*docs.columns))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ begin is counted in words.
 Defined cases
   null text: no lines, stays null; empty text: stays; a text all of whose lines go becomes empty (``drop_emptied`` drops
   the row); repeated rows (same id and text): as one, each gets the same result; rows with the same id and other texts: told apart by a
-  hash of the text; null ids: come before others; empty table: empty result; extra columns pass through.
+  hash of the text; null ids: come before others; ties between fingerprints: the first place wins; very long texts: whole,
+  as one row; empty table: empty result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,10 +149,10 @@ def _marked(docs: DataFrame, id_column: str, text: str, runs_name: str, **option
     """``docs`` with the runs to delete (null: none). Only documents that may have some are joined."""
     scratch = Scratch(docs.sparkSession, "lines")
     runs = scratch.save(repeated_runs(docs, scratch, id_column=id_column, text=text, **options), "runs")
-    runs = runs.select(F.col("id").alias("_r_id"), F.col("tkey").alias("_r_tkey"), F.col("runs").alias(runs_name))
-    flag = free_name(docs, "_maybe")
-    marked = BitFilter(runs, "_r_id").mark(docs, id_column, flag)
-    touched = marked.filter(flag).join(runs, F.col(id_column).eqNullSafe(F.col("_r_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_r_tkey")), "left").drop("_r_id", "_r_tkey", flag)
+    r_id, r_tkey, flag = (free_name(docs, c) for c in ("_r_id", "_r_tkey", "_maybe"))
+    runs = runs.select(F.col("id").alias(r_id), F.col("tkey").alias(r_tkey), F.col("runs").alias(runs_name))
+    marked = BitFilter(runs, r_id).mark(docs, id_column, flag)
+    touched = marked.filter(flag).join(runs, F.col(id_column).eqNullSafe(F.col(r_id)) & (F.xxhash64(F.col(text).cast("string")) == F.col(r_tkey)), "left").drop(r_id, r_tkey, flag)
     rest = marked.filter(~F.col(flag)).drop(flag).withColumn(runs_name, F.lit(None).cast(runs.schema[runs_name].dataType))
     return touched.unionByName(rest)
 
