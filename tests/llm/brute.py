@@ -66,40 +66,23 @@ def classes(docs, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def deleted_lines(docs, min_words=50, gram_words=25, reach=75):
-    """Winnowing as line_dedup's docstring has it; doc id -> set of line numbers to delete."""
+def deleted_lines(docs, min_words=50):
+    """By definition: doc id -> line numbers of every run of lines of ``min_words`` words or more that stands earlier, in
+    the corpus (by id) or the document. Runs that begin earlier count as earlier, as for the operator."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    lines, starts, prints = {}, {}, collections.defaultdict(list)
-    for i, t in docs:
-        lines[i] = [x for x in ((hashlib.md5(s.encode()).digest(), len(word.findall(s)), n) for n, s in enumerate((t or "").split("\n"))) if x[1]]
-        starts[i], total = [], 0
-        for x in lines[i]:
-            starts[i].append(total)
-            total += x[1]
-        grams = {p: hashlib.md5(b"".join(lines[i][q][0] for q in range(len(lines[i])) if 0 <= starts[i][q] - s < gram_words)).digest() for p, s in enumerate(starts[i]) if total - s >= gram_words}
-        chosen = {min((grams[q], starts[i][q], q) for q in grams if 0 <= starts[i][q] - starts[i][p] <= min_words - gram_words)[2] for p in grams if total - starts[i][p] >= min_words}
-        for p in chosen:
-            prints[grams[p]].append((i, p))
-    extents = collections.defaultdict(list)
-    for places in prints.values():
-        j, q = min(places)
-        for i, p in places:
-            if (i, p) != (j, q):
-                a = b = 0
-                while a < reach and p + a < len(lines[i]) and q + a < len(lines[j]) and lines[i][p + a][0] == lines[j][q + a][0]:
-                    a += 1
-                while b < reach and p - b > 0 and q - b > 0 and lines[i][p - b - 1][0] == lines[j][q - b - 1][0]:
-                    b += 1
-                extents[i, j, p - q].append((p - b, p + a))
-    gone = collections.defaultdict(set)
-    for (i, _, _), found in extents.items():
-        runs = []
-        for a, b in sorted(found):
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], b)
-            else:
-                runs.append([a, b])
-        for a, b in runs:
-            if sum(lines[i][k][1] for k in range(a, b)) >= min_words:
-                gone[i] |= set(range(lines[i][a][2], lines[i][b - 1][2] + 1))
+    seen, gone = set(), collections.defaultdict(set)
+    for i, t in sorted(docs):
+        lines = [x for x in ((s, len(word.findall(s)), n) for n, s in enumerate((t or "").split("\n"))) if x[1]]
+        for a in range(len(lines)):
+            here, total = [], 0
+            for b in range(a + 1, len(lines) + 1):
+                total += lines[b - 1][1]
+                if total >= min_words:
+                    run = tuple(hashlib.md5(x[0].encode()).digest() for x in lines[a:b])
+                    if run in seen:
+                        gone[i] |= set(range(lines[a][2], lines[b - 1][2] + 1))
+                    here.append(run)
+                    if total >= 4 * min_words:  # a longer run is made up of such
+                        break
+            seen.update(here)
     return gone

@@ -133,22 +133,44 @@ def test_sharding_law_and_slots(spark, small, odd):
     assert sizes[1] == 1 and sizes[2] == 1 and sizes[10] == len("é\x00ß 日本".encode()) + 1
 
 
-def test_placements_equal_a_walk_of_the_ring(spark):
+def shards_of(counts, shards):
+    """(shard, slot) of each row of each point, as ``placements`` says."""
+    out = {}
+    for p, takes in sharding.placements(counts, sharding.ring_order(shards), shards).items():
+        edges = [t["start"] for t in takes] + [counts[p]]
+        assert edges[0] == 0 and edges == sorted(edges)
+        out[p] = [(t["shard"], t["slot"] + k) for t, a, b in zip(takes, edges, edges[1:]) for k in range(b - a)]
+    return out
+
+
+def test_placements_equal_a_walk_of_the_ring():
+    """Row by row: all rows try the first virtual node clockwise, those that found their shard full the next shard's."""
     rng = random.Random(2)
-    order = sharding.ring_order(5, 64, 8)
-    assert all(sorted(o) == list(range(5)) for o in order)
-    for _ in range(30):
-        counts = {p: rng.choice([1, 2, 3, 400]) for p in rng.sample(range(64), 20)}
-        placed = sharding.placements(counts, order, 5)
-        load = [0] * 5
-        for p, takes in placed.items():
-            edges = [t["start"] for t in takes] + [counts[p]]
-            assert edges[0] == 0 and edges == sorted(edges)
-            for t, a, b in zip(takes, edges, edges[1:]):
-                load[t["shard"]] += b - a
-            # A row is on a later shard of its walk only if every earlier one is full.
-            assert [order[p].index(t["shard"]) for t in takes] == sorted(order[p].index(t["shard"]) for t in takes)
-        assert sum(load) == sum(counts.values()) and max(load) - min(load) <= 1
+    nodes = sorted((int.from_bytes(hashlib.sha256(f"shard {s} node {v}".encode()).digest()[:8], "big") % sharding.POINTS, hashlib.sha256(f"{v} {s}".encode()).digest(), s) for s in range(5) for v in range(sharding.VIRTUAL_NODES))
+    for _ in range(10):
+        counts = {p: rng.choice([1, 2, 3, 400]) for p in rng.sample(range(sharding.POINTS), 60)}
+        n, walk = sum(counts.values()), {}
+        for p in counts:
+            walk[p] = list(dict.fromkeys([s for at, _, s in nodes if at >= p] + [s for _, _, s in nodes]))
+        wanted = [sum(c for p, c in counts.items() if walk[p][0] == s) for s in range(5)]
+        room = [n // 5 + (s in sorted(range(5), key=lambda s: (-wanted[s], s))[: n % 5]) for s in range(5)]
+        used, want, left = [0] * 5, {p: [] for p in counts}, dict(counts)
+        for turn in range(5):
+            for p in sorted(counts):
+                s = walk[p][turn]
+                while left[p] and used[s] < room[s]:
+                    want[p].append((s, used[s]))
+                    used[s], left[p] = used[s] + 1, left[p] - 1
+        assert shards_of(counts, 5) == want and max(used) - min(used) <= 1
+
+
+def test_a_ninth_shard_moves_few_rows():
+    rng = random.Random(1)
+    counts = {p: rng.randint(1, 40) for p in range(sharding.POINTS)}
+    before, after = shards_of(counts, 8), shards_of(counts, 9)
+    moved = [(x[0], y[0]) for p in counts for x, y in zip(before[p], after[p]) if x[0] != y[0]]
+    assert len(moved) < 1.5 / 9 * sum(counts.values())  # a ninth must
+    assert sum(y != 8 for _, y in moved) < 0.05 * sum(counts.values())
 
 
 # 5 URL filter
@@ -162,6 +184,10 @@ def test_url_filter_collisions_and_join(spark, tmp_path, monkeypatch):
     for limit in (url_filter.MAX_BYTES, 0):
         got = [(r["judgement"]["verdict"], r["judgement"]["rule"]) for r in url_filter.judge_urls(pages, rules, max_bytes=limit).orderBy("page_id").collect()]
         assert got == want
+    odd = spark.createDataFrame([(1, "http://ÉX.org/a"), (2, "http://" + "a." * 5000 + "éx.org/a"), (3, "http://x.ORG/a")], "u long, url string")
+    rules = spark.createDataFrame([("Éx.org/", "block"), ("oRG/A", "block"), ("org/a", "allow")], "rule string, verdict string")
+    both = [[tuple(r["judgement"])[2:] for r in url_filter.judge_urls(odd, rules, max_bytes=limit).orderBy("u").collect()] for limit in (url_filter.MAX_BYTES, 0)]
+    assert both[0] == both[1] == [("Éx.org/", "block"), ("org/a", "allow"), ("org/a", "allow")]
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: 7)  # every digest collides: strings decide
     (tmp_path / "f").write_bytes(url_filter.DigestArray.pack([(b"a/", True), (b"b/", False)]))
     assert url_filter.DigestArray(str(tmp_path / "f")).find([b"b/", b"c/", b"a/"]).tolist() == [1, -1, 0]
@@ -266,6 +292,35 @@ def test_viterbi_equals_plain_dynamic_programming():
                 best[e] = max(best[e], best[e - 1] + encoder.unknown_score)
         got = sum(model.scores[i] if i else encoder.unknown_score for i in encoder.best(s))
         assert got == pytest.approx(best[-1])
+        ids, sizes = encoder.encode_words([s, "d" * 3, "abc" * 100, s[:1]])
+        whole = [encoder.best(x).tolist() for x in (s, "d" * 3, "abc" * 100, s[:1])]
+        assert ids.tolist() == sum(whole, []) and sizes.tolist() == list(map(len, whole))
+
+
+def test_merge_order_equals_merging():
+    import numpy as np
+
+    model = sentencepiece.PieceModel.load()
+    encoder, rng = sentencepiece.Encoder(model), random.Random(7)
+    pairs = [(rng.choice(list(encoder.ids.values())), rng.choice(list(encoder.ids.values()))) for _ in range(3000)]
+    pairs += [(encoder.ids[t[:k]], encoder.ids[t[k:]]) for t in rng.sample(sorted(encoder.ids), 1500) for k in range(1, len(t)) if t[:k] in encoder.ids and t[k:] in encoder.ids]
+    a, b = np.array([p for p in pairs if encoder.order.alone[list(p)].all()]).T
+    texts = [(model.texts[x], model.texts[y]) for x, y in zip(a.tolist(), b.tolist())]
+    assert encoder.order(a, b).tolist() == [encoder.merge(x + y) == [x, y] for x, y in texts]
+
+
+def test_sentencepiece_long_words_and_stretches(monkeypatch):
+    import sentencepiece as sp
+
+    library = sp.SentencePieceProcessor(model_file=sentencepiece.MODEL_PATH)
+    encoder, rng = sentencepiece.Encoder(sentencepiece.PieceModel.load()), random.Random(8)
+    texts = ["".join(rng.choice("abcdeé日 \n#") for _ in range(rng.randint(0, 400))) for _ in range(60)] + [None, "", "the" * 2000, " a" * 3000]
+    for stretch, words, cells in ((1 << 20, 1 << 20, 1 << 20), (50, 20, 40)):
+        monkeypatch.setattr(sentencepiece, "STRETCH", stretch)
+        monkeypatch.setattr(sentencepiece, "WORDS", words)
+        monkeypatch.setattr(sentencepiece, "CELLS", cells)
+        ids, sizes = encoder.encode_all(texts)
+        assert ids.tolist() == sum((library.encode(t) for t in texts if t), []) and sizes.tolist() == [len(library.encode(t)) if t else 0 for t in texts]
 
 
 # 8 WARC
@@ -299,6 +354,29 @@ def test_warc_faults_are_found(spark, tmp_path):
         warc.read_warc(spark, str(tmp_path / "f.warc")).collect()
 
 
+@pytest.mark.parametrize("version", [b"1.0", b"1.1"])
+def test_foreign_archives_across_borders(spark, tmp_path, version):
+    """Files cut into stretches of any size, payloads that hold record heads, both versions."""
+    rng = random.Random(9)
+    payloads = [b"".join(rng.choice([b"x" * 9, b"WARC/1.0\r\n", b"WARC/1.1 ", b"WARC/1.", b"\r\n", b"yz"]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    data = b"".join(b"WARC/" + version + b"\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (n, len(p)) + p + warc.END for n, p in enumerate(payloads))
+    (tmp_path / "f.warc").write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("64m", "1500b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_warc(spark, str(tmp_path / "f.warc")).collect()}
+            assert got == {f"<{n}>": p for n, p in enumerate(payloads)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    for bad in (data[:-200], b"junk" + data, data.replace(b"WARC/" + version + b"\r\nWARC-Type", b"WARC/0.9\r\nWARC-Type"), data + b"WARC/1.7\r\nx: y\r\n\r\n"):
+        (tmp_path / "f.warc").write_bytes(bad)
+        with pytest.raises(Exception, match="archive|Content-Length|version"):
+            warc.read_warc(spark, str(tmp_path / "f.warc")).collect()
+
+
 # 9 exact dedup
 
 
@@ -306,6 +384,8 @@ def test_exact_dedup(spark, small, odd):
     docs = small + [(900, None), (901, ""), (902, "a \t\n b"), (903, "a b"), (904, "a  b")]
     got = {r["id"]: (r["keep_id"], r["group_size"], r["kept"], r["digest"].hex()) for r in exact_dedup.exact_groups(spark.createDataFrame(docs, DOCS), memtable_rows=20, fanout=3).collect()}
     assert got == brute.exact(docs)
+    index = exact_dedup.MergeIndex(spark.createDataFrame(docs, DOCS), Scratch(spark, "t"), memtable_rows=20, fanout=3)
+    assert index.lookup(["a \t b", None, "not there"]) == {"a \t b": (902, 3), None: (900, 2)}
     assert exact_dedup.exact_groups(odd).count() == odd.count() and exact_dedup.exact_groups(empty(spark)).count() == 0
     kept = exact_dedup.deduplicate(odd)
     assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 10, 11, 3, 4, 6, 7, 8, 9, None]
