@@ -11,48 +11,77 @@ one's ``docs``. All but the last return the columns of ``documents``.
 4. decontamination: spans of ten or more words that benchmark items hold are cut; a document more than half of which
    they cover is dropped.
 5. tokens: SentencePiece ids of each document, with the proof that they decode to its text.
+
+A stage's intermediate tables are deleted when the next stage is called, so its result must have been written by then;
+those of other operators are not touched. Two runs must not take turns in one process.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontamination, line_dedup, ngram_join, sentencepiece, toxicity
-from loomspan.llm.base import Scratch
+from loomspan.llm.base import Scratch, free_name
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC, COVERAGE = 0.3, 0.5
 
 
+#: What the last stage's result still reads. It goes when the next stage begins, by when that result has been written.
+_left: list[Scratch] = []
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that closes the tables that the stage before it left, and notes its own."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            _left.pop().close()
+        with Scratch.collected(_left):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release()  # what earlier stages read has been written
+    """Null and empty texts get the prior, which is under the limit: they stay. Repeated rows: judged alike. Empty table:
+    empty result. Very long texts: scored whole. Extra columns pass through, whatever their names."""
+    score = free_name(docs, "_toxicity")
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model, out="_toxicity").filter(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return toxicity.score_toxicity(docs, model, out=score).filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release()
+    """Null and empty texts stay. A row all of whose lines stand earlier goes; rows equal in id and text share their fate."""
     return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release()
+    """Null and empty texts have no shingles, are like nothing and stay, as do rows with a null id."""
     return ngram_join.keep_one(docs, n=5, percent=80)
 
 
+@_stage
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release()
+    """Null and empty texts stay; a text that is nothing but a passage goes."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_coverage=COVERAGE)
 
 
+@_stage
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    Scratch.release()
+    """Null texts have null ids and n_tokens; empty ones no ids."""
     model = sentencepiece.PieceModel.load()
-    encoded = sentencepiece.decode(sentencepiece.encode(docs, model), model, out="_decoded")
-    return encoded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    back = free_name(docs, "_decoded")
+    encoded = sentencepiece.encode(docs, model, decoded=back)
+    return encoded.select(*docs.columns, "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), F.col(back).eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -70,7 +99,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result goes through Parquet in the shared folder."""
     results = Scratch(spark, "pipeline")
-    Scratch.live.remove(results)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for n, (name, stage) in enumerate(STAGES):
         docs = results.save(stage(spark, docs, sf_dir), f"{n}-{name}")
