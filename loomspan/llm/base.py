@@ -68,7 +68,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/loomspan-{label}-{uuid.uuid4().hex}"
         if (notes := self._notes.get()) is not None:
             notes.append(self)
-        atexit.register(self.close)
+        atexit.register(self._remove, self.root)
 
     def save(self, df: DataFrame, name: str, partition_by: Iterable[str] = (), **options: str) -> DataFrame:
         """Write ``df`` as Parquet and return the reread table."""
@@ -78,13 +78,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more."""
+        """Delete tables that nothing reads any more. The plans that made them are garbage by then; collecting it keeps the
+        driver's heap near what it holds."""
         for name in names:
-            self._remove(f"{self.root}/{name}")
+            self._remove(f"{self.root}/{name}".rstrip("/"))
+        self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
-        self._remove(self.root)
-        atexit.unregister(self.close)
+        self.drop("")
 
     def _remove(self, path: str) -> None:
         try:

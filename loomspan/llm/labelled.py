@@ -8,6 +8,8 @@ Defined cases
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +46,11 @@ def within(features: DataFrame, columns: list[str], limit: int) -> DataFrame:
     return features.withColumn("so_far", so_far).filter(F.col("so_far") <= limit).drop("so_far")
 
 
+def arrays_of(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """A binary column's values as arrays, without copies."""
+    return [np.frombuffer(v.as_buffer() or b"", kind) for v in column]
+
+
 def prior_shift(totals: tuple[int, int], sampled: tuple[int, int]) -> float:
     """What to add to a logit learned on the sample so that it holds for all labelled rows."""
     import math

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import Memo, held_out, pieces, utf8
-from .labelled import class_totals, labelled_sample, prior_shift, within
+from .labelled import arrays_of, class_totals, labelled_sample, prior_shift, within
 
 BITS, DIM, MIN_GRAM, MAX_GRAM, PER_CLASS, EPOCHS, RATE = 16, 8, 2, 4, 2000, 6, 2.0
 #: Bytes of features of each label that the learner reads at most.
@@ -177,13 +177,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", i
 
     sample = labelled_sample(docs, labels, label, per_class, id_column=id_column, text=text)
     found = within(sample.mapInArrow(features, "order long, y int, idx binary, share binary"), ["idx", "share"], sample_bytes)
-    rows = sorted((r["order"], r["y"], bytes(r["idx"]), bytes(r["share"])) for r in found.collect())  # 2 * sample_bytes at most
-    totals = class_totals(labels, label, id_column)
-    sampled = (sum(r[1] == 0 for r in rows), sum(r[1] == 1 for r in rows))
+    rows = found.toArrow().sort_by([(c, "ascending") for c in ("order", "y", "idx", "share")])  # 2 * sample_bytes at most
+    totals, y = class_totals(labels, label, id_column), rows.column("y").to_pylist()
+    sampled = (y.count(0), y.count(1))
     if min(sampled) == 0:
         return QualityModel(np.zeros(1 << BITS, np.float32), math.log((totals[1] + 1) / (totals[0] + 1)))
-    ready = [(np.frombuffer(i, np.uint16).astype(np.int32), np.frombuffer(s, np.float32), y) for _, y, i, s in rows]
-    return train_embeddings(ready, shift=prior_shift(totals, sampled), **options)
+    ready = zip(arrays_of(rows.column("idx"), np.uint16), arrays_of(rows.column("share"), np.float32), y)
+    return train_embeddings(list(ready), shift=prior_shift(totals, sampled), **options)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *, text: str = "text", out: str = "quality") -> DataFrame:

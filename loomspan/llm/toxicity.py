@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .base import Memo, held_out, pieces, utf8
 from .decontamination import words_of
-from .labelled import class_totals, labelled_sample, prior_shift, within
+from .labelled import arrays_of, class_totals, labelled_sample, prior_shift, within
 
 BITS, PER_CLASS, EPOCHS = 20, 4000, 3
 #: Bytes of features of each label that the learner reads at most: four bytes a feature.
@@ -96,12 +96,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id
 
     sample = labelled_sample(docs, labels, label, per_class, id_column=id_column, text=text)
     found = within(sample.mapInArrow(features, "order long, y int, idx binary"), ["idx"], sample_bytes)
-    rows = sorted((r["order"], r["y"], bytes(r["idx"])) for r in found.collect())  # 2 * sample_bytes at most
-    totals = class_totals(labels, label, id_column)
-    sampled = (sum(y == 0 for _, y, _ in rows), sum(y == 1 for _, y, _ in rows))
+    rows = found.toArrow().sort_by([(c, "ascending") for c in ("order", "y", "idx")])  # 2 * sample_bytes at most
+    totals, y = class_totals(labels, label, id_column), rows.column("y").to_pylist()
+    sampled = (y.count(0), y.count(1))
     if min(sampled) == 0:
         return FtrlModel(np.zeros(0, np.int32), np.zeros(0, np.float32), math.log((totals[1] + 1) / (totals[0] + 1)))
-    return train_ftrl([(np.frombuffer(idx, np.int32), y) for _, y, idx in rows], shift=prior_shift(totals, sampled), **options)
+    return train_ftrl(list(zip(arrays_of(rows.column("idx"), np.int32), y)), shift=prior_shift(totals, sampled), **options)
 
 
 def score_toxicity(docs: DataFrame, model: FtrlModel, *, text: str = "text", out: str = "toxicity") -> DataFrame:
