@@ -57,9 +57,9 @@ def _in_expression(e) -> Iterator:
         yield from _divisions(e.plan())
 
 
-def _integral(operand) -> bool:
-    """A cast that Spark put in: over an integer, and not a safe one, as the dialect's own casts are."""
-    if operand.getClass().getName() != f"{_EXPRESSIONS}Cast" or operand.evalMode().toString() == "TRY":
+def _integral(operand, written) -> bool:
+    """A cast over an integer that Spark put in: it does not carry the tag of those that are ``written`` in the text."""
+    if operand.getClass().getName() != f"{_EXPRESSIONS}Cast" or operand.getTagValue(written).isDefined():
         return False
     return operand.child().dataType().typeName() in _INTEGRAL
 
@@ -74,9 +74,10 @@ def integer_divisions(df: DataFrame, text: str, tokens: list[str]) -> str | None
         starts.append(at)
         at += len(t)
     turned = set()
+    written = df.sparkSession._jvm.org.apache.spark.sql.catalyst.expressions.Cast.USER_SPECIFIED_CAST()
     for e in _divisions(plan):
         where = e.origin()
-        if not (_integral(e.left()) and _integral(e.right()) and where.startIndex().isDefined() and where.sqlText().isDefined() and where.sqlText().get() == text):
+        if not (_integral(e.left(), written) and _integral(e.right(), written) and where.startIndex().isDefined() and where.sqlText().isDefined() and where.sqlText().get() == text):
             continue
         first, last = where.startIndex().get(), where.stopIndex().get()
         depth, found = 0, None

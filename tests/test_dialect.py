@@ -86,8 +86,8 @@ def test_not_in_is_three_valued(spark):
 
 def test_integer_division(spark):
     e = Engine(spark)
-    row = e.sql("SELECT 7 / 2 AS a, -7 / 2 AS b, 7 / 2.0 AS c, CAST(7 AS DOUBLE) / 2 AS d, 100 / 7 / 2 AS f, (1 + 6) / (4 / 2) AS g, 2 * 7 / 4 AS h, 7 / 2 + 0.5 AS i, '7/2' AS s").first()
+    row = e.sql("SELECT 7 / 2 AS a, -7 / 2 AS b, 7::DOUBLE / 2::DOUBLE AS e, 7 / 2.0 AS c, CAST(7 AS DOUBLE) / 2 AS d, 100 / 7 / 2 AS f, (1 + 6) / (4 / 2) AS g, 2 * 7 / 4 AS h, 7 / 2 + 0.5 AS i, '7/2' AS s").first()
     assert [type(row[c]) for c in "abfgh"] == [int] * 5 and [row[c] for c in "abfgh"] == [3, -3, 7, 3, 3]
-    assert (float(row["c"]), row["d"], float(row["i"]), row["s"]) == (3.5, 3.5, 3.5, "7/2")
+    assert (float(row["c"]), row["d"], row["e"], float(row["i"]), row["s"]) == (3.5, 3.5, 3.5, 3.5, "7/2")
     assert e.sql("SELECT sum(id) / count(*) AS m FROM range(4) WHERE id / 2 = 1 OR id IN (SELECT id / 3 FROM range(3))").first()["m"] == 5 // 3
     assert e.sql("WITH t AS (SELECT id / 2 AS h FROM range(6)) SELECT h, count(*) AS n FROM t GROUP BY h ORDER BY h").collect() == [(0, 2), (1, 2), (2, 2)]
