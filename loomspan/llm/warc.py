@@ -37,6 +37,8 @@ HEAD, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Where readers cut, and what follows it in a record of either version.
 CUT, _BEGINS = b"WARC/1.", re.compile(rb"[01]\r\n")
 SEGMENT_BYTES, CHUNK_BYTES = 1 << 20, 8192
+#: What a worker takes up at a time, beyond one record.
+BATCH_BYTES = 4 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -101,7 +103,7 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     table = alone.unionByName(both.select("id", "uri", "payload", refers.alias("refers")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "payload"):
+        for batch in pieces(batches, "payload", limit=BATCH_BYTES):
             out = []
             for r in batch.to_pylist():
                 digest = sha1_base32(r["payload"])
@@ -169,7 +171,7 @@ def _stretches(spark: SparkSession, path: str) -> DataFrame:
         def border(piece: bytes, opens: bool) -> dict:
             return {"path": here[0], "start": here[1], "nth": nth, "opens": opens, "fragment": piece}
 
-        for batch in pieces(batches, "raw"):
+        for batch in pieces(batches, "raw", limit=BATCH_BYTES):
             out = []
             for raw, *place in zip(batch.column("raw").to_pylist(), batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 if place != here:
@@ -203,7 +205,7 @@ def _mended(fragments: DataFrame) -> DataFrame:
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner, file = _Joiner(), None
-        for batch in pieces(batches, "fragment"):
+        for batch in pieces(batches, "fragment", limit=BATCH_BYTES):
             out = []
             for r in batch.to_pylist():
                 if joiner.held is not None and (r["opens"] or r["path"] != file):
@@ -241,6 +243,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 _WHOLE = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary"
 
 
+def _assembled(r: dict) -> tuple[dict, int]:
+    """A record with its decoded payload, and how often it is there."""
+    segments: dict[int, bytes] = {}
+    for p in r["parts"]:
+        if segments.setdefault(p["n"], p["b"]) != p["b"]:
+            raise ValueError(f"two different segments {p['n']} of {r['record_id']}")
+    copies, rest = divmod(len(r["parts"]), len(segments))
+    if rest or sorted(segments) != list(range(1, len(segments) + 1)):
+        raise ValueError(f"segments of {r['record_id']} are missing")
+    block = b"".join(segments[n] for n in sorted(segments))
+    if len(segments) > 1 and r["total"] != len(block):
+        raise ValueError(f"{r['record_id']} has {len(block)} bytes, not {r['total']}")
+    payload = http_payload(block) if r["record_type"] == "response" else block
+    said = r["payload_digest"]
+    if r["record_type"] == "response" and said and said.startswith("sha1:") and said[5:] != sha1_base32(payload):
+        raise ValueError(f"{r['record_id']} has another digest than it says")
+    return {k: r[k] for k in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")} | {"payload": payload}, copies
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Whole records with decoded payloads: continuations joined to their origin, chunked framing removed.
 
@@ -252,25 +273,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     parts = raw.filter("segment IS NOT NULL").groupBy("origin").agg(*(first(c) for c in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")), F.collect_list(F.struct(F.col("segment").alias("n"), F.col("block").alias("b"))).alias("parts"), F.max("total").alias("total")).drop("origin")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                segments: dict[int, bytes] = {}
-                for p in r["parts"]:
-                    if segments.setdefault(p["n"], p["b"]) != p["b"]:
-                        raise ValueError(f"two different segments {p['n']} of {r['record_id']}")
-                copies, rest = divmod(len(r["parts"]), len(segments))
-                if rest or sorted(segments) != list(range(1, len(segments) + 1)):
-                    raise ValueError(f"segments of {r['record_id']} are missing")
-                block = b"".join(segments[n] for n in sorted(segments))
-                if len(segments) > 1 and r["total"] != len(block):
-                    raise ValueError(f"{r['record_id']} has {len(block)} bytes, not {r['total']}")
-                payload = http_payload(block) if r["record_type"] == "response" else block
-                said = r["payload_digest"]
-                if r["record_type"] == "response" and said and said.startswith("sha1:") and said[5:] != sha1_base32(payload):
-                    raise ValueError(f"{r['record_id']} has another digest than it says")
-                row = {k: r[k] for k in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")} | {"payload": payload}
-                yield pa.RecordBatch.from_pylist([row] * copies, _ARROW_WHOLE)
+            for i in range(batch.num_rows):  # one at a time: a row holds a record's segments
+                row, copies = _assembled(batch.slice(i, 1).to_pylist()[0])
+                out += [row] * copies
+                held += len(row["payload"]) * copies
+                if held > BATCH_BYTES or len(out) >= 512:
+                    yield pa.RecordBatch.from_pylist(out, _ARROW_WHOLE)
+                    out, held = [], 0
+        yield pa.RecordBatch.from_pylist(out, _ARROW_WHOLE)
 
     return whole.unionByName(parts).mapInArrow(assemble, _WHOLE)
 

@@ -163,3 +163,30 @@ def test_shared_pieces(spark):
     assert len(mine) == 1
     mine[0].close()
     assert saved.count() == 3
+
+
+def test_pipeline_stages_on_odd_rows(spark, clashing):
+    """Every stage over nulls, empties, ties, repeats, long texts and clashing names; and over no rows."""
+    import corpus_pipeline as p
+    from conftest import SF
+
+    docs = clashing.selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS long) AS n_chars")
+    kept = {}
+    before, empty = docs, docs.filter("false")
+    for name, stage in p.STAGES:
+        after = Scratch(spark, "odd").save(stage(spark, before, SF), name)
+        rows = [r.asDict(recursive=True) for r in after.collect()]
+        assert after.columns[: len(docs.columns)] == docs.columns and (name == "tokens" or after.columns == docs.columns)
+        assert all(r[c] == f"{c}!" for r in rows for c in INSIDE)
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+        kept[name] = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in rows)
+        if name in ("toxicity", "decontamination", "tokens"):
+            assert stage(spark, empty, SF).count() == 0
+        before = after
+    assert kept["toxicity"] == sorted((str(i), len(t or "")) for i, t in ROWS)
+    # Null ids come first: the passage stays there and goes elsewhere; of document 6 a line is left, of 11 its fifty words.
+    assert {i for i, _ in kept["line_dedup"]} == {"None", "1", "2", "3", "6", "7", "8", "9", "10", "11", "12"} and ("None", len(LINES)) in kept["line_dedup"] and ("6", 4) in kept["line_dedup"]
+    assert {i for i, _ in kept["near_duplicates"]} == {i for i, _ in kept["line_dedup"]} - {"8"}  # "one" and "One" are alike
+    assert kept["decontamination"] == kept["near_duplicates"] and kept["tokens"] == kept["decontamination"]
+    tokens = {str(r["doc_id"]): r for r in before.collect()}
+    assert all(r["round_trip"] for r in tokens.values()) and tokens["1"]["ids"] is None and tokens["1"]["n_tokens"] is None and tokens["2"]["n_tokens"] == 0
