@@ -10,7 +10,7 @@ def canon(v):
     if v is None:
         return None
     if isinstance(v, (float, np.floating)):
-        return None if math.isnan(v) else round(float(v), 6)
+        return "NaN" if math.isnan(v) else round(float(v), 6)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, (list, tuple, np.ndarray)):
