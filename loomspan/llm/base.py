@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -78,10 +79,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more. The plans that made them are garbage by then; collecting it keeps the
-        driver's heap near what it holds."""
+        """Delete tables that nothing reads any more. The plans that made them are garbage by then, here and in the JVM;
+        collecting it keeps the driver's memory near what it holds."""
         for name in names:
             self._remove(f"{self.root}/{name}".rstrip("/"))
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
     def close(self) -> None:
