@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import BitFilter, Scratch, free_name
+from .base import BitFilter, Scratch, free_name, join_unique
 
 MIN_WORDS, GRAM_WORDS, REACH = 50, 25, 75
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -107,8 +107,8 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_column: str = "doc_id
     lines = scratch.save(text_lines(docs, id_column=id_column, text=text), "lines")
     prints = scratch.save(fingerprints(lines, min_words, gram_words), "fingerprints")
     place = F.struct(F.col("id"), F.col("tkey"), F.col("pos"))
-    first = prints.groupBy("gram").agg(F.min(place).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "src")
-    later = BitFilter(first, "gram", 18).keep(prints, "gram").join(first, "gram").filter(F.col("src") < place).drop("gram")
+    first = scratch.save(prints.groupBy("gram").agg(F.min(place).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+    later = join_unique(BitFilter(first, "gram", 18).keep(prints, "gram"), first, ["gram"], "n").filter(F.col("src") < place).drop("gram", "n")
     own = lines.select(F.col("id").alias("o_id"), F.col("tkey").alias("o_tkey"), "lines")
     later = later.join(own, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("tkey") == F.col("o_tkey"))).drop("o_id", "o_tkey")
     # What surrounds the fingerprint, before the next shuffle: the lines from it on, and those before it, nearest first.

@@ -237,7 +237,7 @@ def _kept_pairs(pairs: DataFrame, facts: DataFrame, columns: list[str], test) ->
 def _star_round(live: DataFrame, sketches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, id_column: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links of each bucket's smallest id, and what is left of the buckets. ``live``: (sig, id, ...)."""
     centers = scratch.save(live.groupBy("sig").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1"), f"{name}-centers")
-    placed = live.join(centers, "sig").filter("c <> id")
+    placed = join_unique(live, centers, ["sig"], "m").filter("c <> id")
     pairs = placed.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
     near = scratch.save(_kept_pairs(pairs, sketches, ["counts", "n"], lambda x, nx, y, ny: may_be_similar(x, nx, y, ny, percent)), f"{name}-near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
