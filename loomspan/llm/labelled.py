@@ -1,4 +1,4 @@
-"""Bounded labelled samples, shared by the classifiers.
+"""Labelled rows, all of them or a bounded sample, shared by the classifiers.
 
 Defined cases
   null ids and labels other than 0 and 1: not learned from; an id labelled twice: the larger label holds; documents that
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import held_out
+from .base import BitFilter, held_out
 
 
 def class_totals(labels: DataFrame, label: str, id_column: str = "doc_id") -> tuple[int, int]:
@@ -23,20 +23,37 @@ def class_totals(labels: DataFrame, label: str, id_column: str = "doc_id") -> tu
     return row["zero"], row["one"]
 
 
+def _known(labels: DataFrame, label: str, id_column: str) -> DataFrame:
+    """(_id, y, order): each labelled id outside the held-out fold once."""
+    y = F.col(label).cast("int")
+    return labels.filter(F.col(id_column).isNotNull() & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("_id")).agg(F.max(y).alias("y")).withColumn("order", F.xxhash64("_id", F.lit(11)))
+
+
+def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(order, body, y): all documents labelled 0 or 1, never of the held-out fold. Only texts that may be labelled move."""
+    known = _known(labels, label, id_column).filter(F.col("y").isin(0, 1))
+    read = _texts(docs, id_column, text)
+    if known.schema["_id"].dataType == read.schema["_doc"].dataType:  # else equal ids may have unequal hashes
+        read = BitFilter(known, "_id").keep(read, "_doc")
+    return read.join(known, F.col("_doc") == F.col("_id")).select("order", "body", "y")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(order, body, y): documents of at most ``per_class`` rows of ``labels`` for each label, never of the held-out fold.
 
     The rows are those with the smallest hash of their id, so the choice is the same on every run and its size is
     ``2 * per_class`` whatever the table's; that bound is what makes broadcasting the ids safe.
     """
-    y = F.col(label).cast("int")
-    known = labels.filter(F.col(id_column).isNotNull() & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("_id")).agg(F.max(y).alias("y")).withColumn("order", F.xxhash64("_id", F.lit(11)))
+    known = _known(labels, label, id_column)
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("y") == value).orderBy("order", "_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    read = docs.select(F.col(id_column).alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    return read.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("order", "body", "y")
+    return _texts(docs, id_column, text).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("order", "body", "y")
 
 
 def within(features: DataFrame, columns: list[str], limit: int) -> DataFrame:

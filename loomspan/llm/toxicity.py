@@ -3,14 +3,15 @@
 Features of a text are the distinct hashes of its words, word pairs and pairs with one word between, and of the words
 cut to ``STEM`` bytes, which brings inflected forms of a word together. Training keeps
 FTRL's per-coordinate learning rates; its L1 term leaves few weights that are not zero, and only those are broadcast.
-The learner reads at most ``per_class`` labelled rows of each label, and at most ``sample_bytes`` of their features (see
-``labelled_sample`` and ``within``), which bounds what reaches the driver; the class counts that set the prior cover all
-labelled rows.
+The learner reads every labelled row outside the held-out fold, on the executors: the hash of its id deals each row to a
+shard of about ``shard_rows`` rows and tells its place there, one learner goes over each shard, and the model is the mean
+of theirs. Shards are fewer and longer where one label is rare, so that each has some ``LEAST`` rows of it. The driver gets
+the summed weights that are not zero, ``2**BITS`` at most whatever the tables' size.
 
 Defined cases
   null text: scored as the empty text, which gets the prior; no labels of one kind: every score is the smoothed prior;
   repeated rows: each scored alike; very long texts: read whole, in memory that follows the text; ties: equal feature sets
-  have equal scores, and rows are learned from in the order of their id's hash; empty table: empty result; extra columns
+  have equal scores, and rows of equal ids are learned from in the order of label and text; empty table: empty result; extra columns
   pass through ``score_toxicity``, whose ``out`` replaces a column of that name.
 """
 
@@ -18,8 +19,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,13 @@ from pyspark.sql import types as T
 
 from .base import Memo, held_out, pieces, utf8
 from .decontamination import words_of
-from .labelled import arrays_of, class_totals, labelled_sample, prior_shift, within
+from .labelled import class_totals, labelled_rows, labelled_sample, prior_shift, within
 
-BITS, PER_CLASS, EPOCHS = 20, 4000, 3
-#: Bytes of features of each label that the learner reads at most: four bytes a feature.
-SAMPLE_BYTES = 24 << 20
+BITS, EPOCHS = 20, 3
+#: Rows of a shard, and rows of the rarer label that a shard has on average at least, if there are as many.
+SHARD_ROWS, LEAST = 8192, 400
+#: Weights are added up as whole numbers of this unit: the sum is then the same in any order.
+UNIT = 2.0**-32
 STEM = 4
 
 
@@ -65,7 +69,27 @@ class FtrlModel:
         return w
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, int]], *, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, shift: float = 0.0) -> FtrlModel:
+def distinct_features(text: bytes, cache: Memo) -> np.ndarray:
+    return np.unique(feature_indices(words_of(text), cache)).astype(np.int32)
+
+
+class Rows:
+    """Feature indices and labels to go over several times; beyond ``limit`` bytes in a file of the worker's own."""
+
+    def __init__(self, limit: int = 64 << 20):
+        self.file, self.sizes = SpooledTemporaryFile(limit), []
+
+    def add(self, idx: np.ndarray, y: int) -> None:
+        self.file.write(idx.tobytes())
+        self.sizes.append((len(idx), y))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        self.file.seek(0)
+        for n, y in self.sizes:
+            yield np.frombuffer(self.file.read(4 * n), np.int32), y
+
+
+def train_ftrl(rows: Iterable[tuple[np.ndarray, int]], *, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, shift: float = 0.0) -> FtrlModel:
     """``rows``: distinct feature indices and the label, in the order of training."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
@@ -85,23 +109,49 @@ def train_ftrl(rows: list[tuple[np.ndarray, int]], *, bits: int = BITS, epochs:
     return FtrlModel(live.astype(np.int32), w[live].astype(np.float32), -bias_z / ((beta + math.sqrt(bias_n)) / alpha) + shift)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES, **options) -> FtrlModel:
-    """Learn from documents outside the held-out fold: of each label ``per_class`` rows and ``sample_bytes`` at most."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_column: str = "doc_id", text: str = "text", per_class: int | None = None, sample_bytes: int | None = None, shard_rows: int = SHARD_ROWS, **options) -> FtrlModel:
+    """Learn from all documents with labels outside the held-out fold; on request, of each label from ``per_class`` rows
+    and ``sample_bytes`` of features at most."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
         for batch in pieces(batches, "body"):
-            idx = [np.unique(feature_indices(words_of(t), cache)).astype(np.int32).tobytes() for t in utf8(batch.column("body"))]
-            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("y"), pa.array(idx, pa.binary())], ["order", "y", "idx"])
-
-    sample = labelled_sample(docs, labels, label, per_class, id_column=id_column, text=text)
-    found = within(sample.mapInArrow(features, "order long, y int, idx binary"), ["idx"], sample_bytes)
-    rows = found.toArrow().sort_by([(c, "ascending") for c in ("order", "y", "idx")])  # 2 * sample_bytes at most
-    totals, y = class_totals(labels, label, id_column), rows.column("y").to_pylist()
-    sampled = (y.count(0), y.count(1))
-    if min(sampled) == 0:
+            idx = [distinct_features(t, cache).tobytes() for t in utf8(batch.column("body"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("order", "body", "y")), pa.array(idx, pa.binary())], ["order", "body", "y", "idx"])
+
+    def learned(rows: Rows) -> pa.RecordBatch:
+        model = train_ftrl(rows, **options)
+        weights = np.rint(np.append(model.weights.astype(np.float64), model.bias) / UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(model.indices, -1).astype(np.int32)), pa.array(weights)], ["index", "weight"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, at, rows = word_hashes(), None, Rows()
+        for batch in pieces(batches, "body"):
+            for shard, y, t in zip(batch.column("shard").to_pylist(), batch.column("y").to_pylist(), utf8(batch.column("body"))):
+                if shard != at and rows.sizes:
+                    yield learned(rows)
+                    rows = Rows()
+                at = shard
+                rows.add(distinct_features(t, cache), y)
+        if rows.sizes:
+            yield learned(rows)
+
+    if per_class is None:
+        found = labelled_rows(docs, labels, label, id_column=id_column, text=text)
+    else:
+        found = labelled_sample(docs, labels, label, per_class, id_column=id_column, text=text)
+    if sample_bytes is not None:
+        found = within(found.mapInArrow(sized, "order long, body string, y int, idx binary"), ["idx"], sample_bytes).drop("idx")
+    counts = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    totals, read = class_totals(labels, label, id_column), (counts.get(0, 0), counts.get(1, 0))
+    if min(read) == 0:
         return FtrlModel(np.zeros(0, np.int32), np.zeros(0, np.float32), math.log((totals[1] + 1) / (totals[0] + 1)))
-    return train_ftrl(list(zip(arrays_of(rows.column("idx"), np.int32), y)), shift=prior_shift(totals, sampled), **options)
+    shards = max(1, min(math.ceil(sum(read) / shard_rows), min(read) // LEAST))
+    shard = F.pmod(F.xxhash64("order", F.lit(5)), F.lit(shards)).cast("int")
+    dealt = found.withColumn("shard", shard).repartitionById(shards, "shard").sortWithinPartitions("shard", "order", "y", "body")
+    summed = dealt.mapInArrow(learn, "index int, weight long").groupBy("index").agg(F.sum("weight").alias("weight"), F.count("*").alias("shards")).toArrow().sort_by("index")
+    index, weight = summed.column("index").to_numpy(), summed.column("weight").to_numpy() * (UNIT / summed.column("shards")[0].as_py())  # the bias, which each shard with rows has, is first
+    return FtrlModel(index[1:], weight[1:].astype(np.float32), float(weight[0]) + prior_shift(totals, read))
 
 
 def score_toxicity(docs: DataFrame, model: FtrlModel, *, text: str = "text", out: str = "toxicity") -> DataFrame:
