@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import BitFilter, held_out
 
@@ -33,15 +34,33 @@ def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("_doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(order, body, y): all documents labelled 0 or 1, never of the held-out fold. Only texts that may be labelled move."""
+def _may_be_labelled(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The ids labelled 0 or 1, never of the held-out fold, and the texts that may have one of them."""
     known = _known(labels, label, id_column).filter(F.col("y").isin(0, 1))
     read = _texts(docs, id_column, text)
     if known.schema["_id"].dataType == read.schema["_doc"].dataType:  # else equal ids may have unequal hashes
         read = BitFilter(known, "_id").keep(read, "_doc")
+    return known, read
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(order, body, y): all documents labelled 0 or 1, never of the held-out fold. Only texts that may be labelled move."""
+    known, read = _may_be_labelled(docs, labels, label, id_column, text)
     return read.join(known, F.col("_doc") == F.col("_id")).select("order", "body", "y")
 
 
+def labels_and_texts(docs: DataFrame, labels: DataFrame, label: str, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(order, key, body, y): the rows of ``labelled_rows`` before their join, for a reader who deals them out by ``order``,
+    sorts by it, ``key`` and null ``y`` last, and joins them there, so that texts move once: a label has a null body, and a
+    text, which holds for the label before it if that has its key, a null y. Ids of other types than these come joined."""
+    known, read = _may_be_labelled(docs, labels, label, id_column, text)
+    kind = known.schema["_id"].dataType
+    if kind != read.schema["_doc"].dataType or kind not in (T.LongType(), T.IntegerType(), T.StringType()):
+        return labelled_rows(docs, labels, label, id_column=id_column, text=text).select("order", F.lit("").alias("key"), "body", "y")
+    texts = read.filter(F.col("_doc").isNotNull()).select(F.xxhash64("_doc", F.lit(11)).alias("order"), F.col("_doc").cast("string").alias("key"), "body", F.lit(None).cast("int").alias("y"))
+    return known.select("order", F.col("_id").cast("string").alias("key"), F.lit(None).cast("string").alias("body"), "y").unionByName(texts)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(order, body, y): documents of at most ``per_class`` rows of ``labels`` for each label, never of the held-out fold.
 

@@ -5,8 +5,8 @@ cut to ``STEM`` bytes, which brings inflected forms of a word together. Training
 FTRL's per-coordinate learning rates; its L1 term leaves few weights that are not zero, and only those are broadcast.
 The learner reads every labelled row outside the held-out fold, on the executors: the hash of its id deals each row to a
 shard of about ``shard_rows`` rows and tells its place there, one learner goes over each shard, and the model is the mean
-of theirs. Shards are fewer and longer where one label is rare, so that each has some ``LEAST`` rows of it. The driver gets
-the summed weights that are not zero, ``2**BITS`` at most whatever the tables' size.
+of theirs. Labels are dealt out likewise and meet their texts in the shard, so that texts move once. Shards are fewer and
+longer where one label is rare, so that each has some ``LEAST`` rows of it. The driver gets the summed weights that are not zero, ``2**BITS`` at most whatever the tables' size.
 
 Defined cases
   null text: scored as the empty text, which gets the prior; no labels of one kind: every score is the smoothed prior;
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .base import Memo, held_out, pieces, utf8
 from .decontamination import words_of
-from .labelled import class_totals, labelled_rows, labelled_sample, prior_shift, within
+from .labelled import class_totals, labelled_rows, labelled_sample, labels_and_texts, prior_shift, within
 
 BITS, EPOCHS = 20, 3
 #: Rows of a shard, and rows of the rarer label that a shard has on average at least, if there are as many.
@@ -125,14 +125,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id
         return pa.RecordBatch.from_arrays([pa.array(np.append(model.indices, -1).astype(np.int32)), pa.array(weights)], ["index", "weight"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, at, rows = word_hashes(), None, Rows()
+        cache, at, rows, known = word_hashes(), None, Rows(), (None, None)
         for batch in pieces(batches, "body"):
-            for shard, y, t in zip(batch.column("shard").to_pylist(), batch.column("y").to_pylist(), utf8(batch.column("body"))):
+            for shard, key, y, t in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "y")), utf8(batch.column("body"))):
                 if shard != at and rows.sizes:
                     yield learned(rows)
                     rows = Rows()
                 at = shard
-                rows.add(distinct_features(t, cache), y)
+                if y is not None:
+                    known = (key, y)
+                if t is not None and known[0] == key:
+                    rows.add(distinct_features(t, cache), known[1])
         if rows.sizes:
             yield learned(rows)
 
@@ -148,7 +151,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id
         return FtrlModel(np.zeros(0, np.int32), np.zeros(0, np.float32), math.log((totals[1] + 1) / (totals[0] + 1)))
     shards = max(1, min(math.ceil(sum(read) / shard_rows), min(read) // LEAST))
     shard = F.pmod(F.xxhash64("order", F.lit(5)), F.lit(shards)).cast("int")
-    dealt = found.withColumn("shard", shard).repartitionById(shards, "shard").sortWithinPartitions("shard", "order", "y", "body")
+    if per_class is None and sample_bytes is None:
+        found = labels_and_texts(docs, labels, label, id_column=id_column, text=text)
+    else:
+        found = found.withColumn("key", F.lit(""))
+    dealt = found.withColumn("shard", shard).repartitionById(shards, "shard").sortWithinPartitions("shard", "order", "key", F.col("y").asc_nulls_last(), "body")
     summed = dealt.mapInArrow(learn, "index int, weight long").groupBy("index").agg(F.sum("weight").alias("weight"), F.count("*").alias("shards")).toArrow().sort_by("index")
     index, weight = summed.column("index").to_numpy(), summed.column("weight").to_numpy() * (UNIT / summed.column("shards")[0].as_py())  # the bias, which each shard with rows has, is first
     return FtrlModel(index[1:], weight[1:].astype(np.float32), float(weight[0]) + prior_shift(totals, read))

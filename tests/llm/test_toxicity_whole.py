@@ -53,3 +53,46 @@ def test_one_shard_is_plain_ftrl(spark, many):
     want, same, got = toxicity.train_ftrl(plain), toxicity.train_ftrl(spooled), toxicity.fit_toxicity(few, labels.join(few.select("doc_id"), "doc_id"))
     assert same.weights.tolist() == want.weights.tolist() and same.bias == want.bias
     assert got.indices.tolist() == want.indices.tolist() and got.weights.tolist() == pytest.approx(want.weights.tolist(), abs=1e-6) and got.bias == pytest.approx(want.bias)
+
+
+def shuffled(spark, work):
+    """Bytes written for shuffles while ``work`` runs, no table being small enough to broadcast by itself."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        work()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_texts_move_once(spark, many):
+    docs, labels, _ = many
+    docs, labels = docs.localCheckpoint(), labels.localCheckpoint()
+    plain = docs.join(F.broadcast(labels.filter(~held_out(F.col("doc_id")))), "doc_id").select("doc_id", "text", "toxic").repartition(5, "doc_id")
+    once = shuffled(spark, lambda: plain.write.format("noop").mode("overwrite").save())
+    assert shuffled(spark, lambda: toxicity.fit_toxicity(docs, labels, epochs=1)) < 1.7 * once
+
+
+def test_labels_and_texts_of_odd_ids(spark):
+    """Null ids, repeated ids, ids without a text, labels other than 0 and 1: as ``labelled_rows`` has them, of any type."""
+    from loomspan.llm.labelled import labelled_rows, labels_and_texts
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(3, "again"), (4, None), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(60)] + [(3, 1), (None, 1)], "doc_id long, toxic int")
+    for kind, other in (("long", "long"), ("string", "string"), ("long", "int"), ("double", "double")):
+        d, la = docs.withColumn("doc_id", F.col("doc_id").cast(kind)), labels.withColumn("doc_id", F.col("doc_id").cast(other))
+        want = sorted((r["order"], r["body"], r["y"]) for r in labelled_rows(d, la, "toxic").collect())
+        got, last = [], (None, None)
+        for r in labels_and_texts(d, la, "toxic").orderBy("order", "key", F.col("y").asc_nulls_last(), "body").collect():
+            last = (r["key"], r["y"]) if r["y"] is not None else last
+            if r["body"] is not None and r["key"] == last[0]:
+                got.append((r["order"], r["body"], last[1]))
+        assert want and sorted(got) == want
