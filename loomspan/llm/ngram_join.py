@@ -18,8 +18,9 @@ From signatures to classes without pairs of all in a bucket:
 
 1. Sets that are equal are one class at once; its smallest id stands for it.
 2. Star rounds: in each bucket every member is held against the bucket's smallest id, one row each. Pairs whose count
-   sketches (elements by hash bucket) differ by more than two similar sets can are out; the others are verified on the
-   whole sets. Verified links join up (see ``components``). A round settles all pairs of its centers, so they leave
+   sketches (elements by hash bucket) differ by more than two similar sets can are out: first by the sketches folded to
+   ``ROUGH`` bytes, which go with every pair, then by whole ones, which move for what is left. The others are verified on
+   the whole sets. Verified links join up (see ``components``). A round settles all pairs of its centers, so they leave
    their buckets; buckets of which one component is left are done, the others have a second round.
 3. Of buckets that still hold several components, members whose sketch is near no member of another component leave.
    What is left is settled inside: members of different components are compared by
@@ -59,6 +60,8 @@ UNIT_ELEMENTS, UNIT_MEMBERS = 1 << 21, 2048
 HOT_ROWS = 256
 #: Buckets with more members than this go to step 3 whole: their sketches are not compared.
 SKETCHED_MEMBERS = 512
+#: Bytes of a folded sketch.
+ROUGH = 64
 #: A group of buckets with more members than this is settled bucket by bucket in step 3.
 GROUP_MEMBERS = 16 * UNIT_MEMBERS
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -161,12 +164,17 @@ def count_sketch(elements: np.ndarray) -> bytes:
     return np.minimum(np.bincount((elements & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
 
 
+def folded(counts: np.ndarray, width: int) -> np.ndarray:
+    """A sketch as one of ``width`` values: no two are further apart than the sketches they come from."""
+    return np.minimum(counts.reshape(-1, width).sum(axis=0, dtype=np.int64), 255)
+
+
 def may_be_similar(a: bytes, na: int, b: bytes, nb: int, percent: int) -> bool:
     """False only if the sketches alone show more differences than similar sets of these sizes have."""
     if min(na, nb) * 100 < percent * max(na, nb):
         return False
     m = min(len(a), len(b))
-    x, y = (np.minimum(np.frombuffer(v, np.uint8).reshape(-1, m).sum(axis=0, dtype=np.int64), 255) for v in (a, b))
+    x, y = (folded(np.frombuffer(v, np.uint8), m) for v in (a, b))
     return int(np.abs(x - y).sum()) <= (100 - percent) * (na + nb) // (100 + percent)
 
 
@@ -234,16 +242,30 @@ def _kept_pairs(pairs: DataFrame, facts: DataFrame, columns: list[str], test) ->
     return wide.mapInArrow(run, "a long, b long")
 
 
+def _with_rough(sketches: DataFrame) -> DataFrame:
+    """``sketches`` (id, n, counts) with ``rough``, the sketch folded to ``ROUGH`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rough = [folded(np.frombuffer(x, np.uint8), ROUGH).astype(np.uint8).tobytes() for x in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rough, pa.binary())], [*batch.schema.names, "rough"])
+
+    return sketches.mapInArrow(run, "id long, n long, counts binary, rough binary")
+
+
 def _star_round(live: DataFrame, sketches: DataFrame, docs: DataFrame, scratch: Scratch, name: str, id_column: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links of each bucket's smallest id, and what is left of the buckets. ``live``: (sig, id, ...)."""
     centers = scratch.save(live.groupBy("sig").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1"), f"{name}-centers")
     placed = live.join(centers, "sig").filter("c <> id")
     pairs = placed.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    near = scratch.save(_kept_pairs(pairs, sketches, ["counts", "n"], lambda x, nx, y, ny: may_be_similar(x, nx, y, ny, percent)), f"{name}-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    alike = lambda x, nx, y, ny: may_be_similar(x, nx, y, ny, percent)
+    ends = lambda of: of.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rough = scratch.save(_kept_pairs(pairs, sketches, ["rough", "n"], alike), f"{name}-rough")
+    near = scratch.save(_kept_pairs(rough, BitFilter(ends(rough), "id").keep(sketches, "id"), ["counts", "n"], alike), f"{name}-near")
+    wanted = ends(near)
     sets = scratch.save(_sets(docs, wanted, id_column, text, n), f"{name}-sets")
     links = scratch.save(_kept_pairs(near, sets, ["elements"], lambda x, y: similar(_as_set(x), _as_set(y), percent)), f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-rough")
     return links, placed.filter("m > 2").drop("c", "m")
 
 
@@ -296,7 +318,7 @@ def _undecided(buckets: DataFrame, sketches: DataFrame, percent: int) -> DataFra
         n, label = table.column("n").to_numpy(), table.column("label").to_numpy()
         raw = [np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()]
         width = min(map(len, raw))
-        counts = np.array([np.minimum(x.reshape(-1, width).sum(axis=0, dtype=np.int64), 255) for x in raw], np.int16)
+        counts = np.array([folded(x, width) for x in raw], np.int16)
         near = np.zeros(len(raw), bool)
         for i in range(len(raw) - 1):
             rest = slice(i + 1, None)
@@ -363,7 +385,7 @@ def similarity_classes(docs: DataFrame, *, id_column: str = "doc_id", text: str
     buckets = scratch.save(inside.filter(F.col("rows") <= HOT_ROWS).select("sig", "id", "n").unionByName(kept), "buckets")
     scratch.drop("inside", "several", "copies")
     near = BitFilter(buckets.select("id"), "id").keep(known.select("id", "n", "counts"), "id")
-    sketches = scratch.save(near.groupBy("id").agg(F.max(F.struct("n", "counts")).alias("s")).select("id", "s.n", "s.counts"), "counts")
+    sketches = scratch.save(_with_rough(near.groupBy("id").agg(F.max(F.struct("n", "counts")).alias("s")).select("id", "s.n", "s.counts")), "counts")
     sizes = scratch.save(rows.select("id", "n"), "sizes")
     scratch.drop("sketches")
     same_id = member.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
