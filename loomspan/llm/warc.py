@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import BitFilter, Scratch, pieces
+from .base import _SAVING, BitFilter, Scratch, _settings, pieces
 
 HEAD, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Where readers cut, and what follows it in a record of either version.
@@ -39,6 +39,10 @@ CUT, _BEGINS = b"WARC/1.", re.compile(rb"[01]\r\n")
 SEGMENT_BYTES, CHUNK_BYTES = 1 << 20, 8192
 #: What a worker takes up at a time, beyond one record.
 BATCH_BYTES = 4 << 20
+#: While pages are read: batches sent to Python stay small, and so do those of the Parquet reader, which holds whole payloads.
+_READING = _SAVING | {"spark.sql.parquet.columnarReaderBatchSize": "512"}
+#: Of the archive, for each file of the narrow table made from it.
+ARCHIVE_BYTES_PER_FILE = 128 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -96,6 +100,9 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     digest = F.unhex(F.sha1("payload"))
     narrow = rows.filter(F.octet_length("payload") >= min_payload).select("key", digest.alias("sha1"))
     shared = narrow.groupBy("sha1").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha1", "first")
+    scratch = Scratch(pages.sparkSession, "warc-write")
+    with _settings(pages.sparkSession, _READING):
+        shared = scratch.save(shared, "shared")
     rows = BitFilter(shared, "sha1").mark(rows.withColumn("sha1", digest), "sha1", "maybe")
     alone = rows.filter("NOT maybe").select("id", "uri", "payload", F.lit(None).cast("string").alias("refers"))
     both = rows.filter("maybe").join(shared, "sha1", "left")
@@ -124,7 +131,9 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     records = table.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.mode(mode).option("lineSep", END.decode()).text(path)
+    with _settings(pages.sparkSession, _READING):
+        records.write.mode(mode).option("lineSep", END.decode()).text(path)
+    scratch.close()
 
 
 _RAW = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, origin string, segment int, total long, block binary"
@@ -161,8 +170,9 @@ class _Joiner:
         }
 
 
-def _stretches(spark: SparkSession, path: str) -> DataFrame:
-    """Records that lie in one task's stretch of a file, and, with their place, the fragments at its borders."""
+def _stretches(spark: SparkSession, path: str, few: bool, decode: bool = False) -> DataFrame:
+    """Of what lies in one task's stretch of a file: segments and, with their place, the fragments at its borders (``few``),
+    or the records in one piece. ``decode``: with their payloads as blocks. The worker keeps the others back."""
     lines = spark.read.option("lineSep", CUT.decode()).text(path).select(F.col("value").cast("binary").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +185,7 @@ def _stretches(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for raw, *place in zip(batch.column("raw").to_pylist(), batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 if place != here:
-                    if joiner.held is not None:
+                    if few and joiner.held is not None:
                         out.append(border(joiner.held, True))
                     joiner, here, nth = _Joiner(), place, 0
                     begun = False
@@ -188,13 +198,14 @@ def _stretches(spark: SparkSession, path: str) -> DataFrame:
                 if joiner.held is None and not (_BEGINS.match(raw) and (begun or b"warc-type:" in raw[:8192].lower())):
                     if begun:
                         raise ValueError(f"{place[0]} has a record of an unknown version")
-                    out.append(border(raw, False))
+                    if few:
+                        out.append(border(raw, False))
                     continue
                 begun = True
-                if record := joiner.feed(raw):
-                    out.append(record)
+                if (record := joiner.feed(raw)) and few == (record["segment"] is not None):
+                    out.append(record | {"block": _payload(record, record["block"])} if decode else record)
             yield pa.RecordBatch.from_pylist(out, _ARROW_STRETCH)
-        if joiner.held is not None:
+        if few and joiner.held is not None:
             yield pa.RecordBatch.from_pylist([border(joiner.held, True)], _ARROW_STRETCH)
 
     return lines.mapInArrow(parse, f"{_RAW}, {_PLACE}")
@@ -226,12 +237,11 @@ _ARROW_RAW = pa.schema([*((n, pa.string()) for n in ("record_id", "record_type",
 _ARROW_STRETCH = pa.schema([*_ARROW_RAW, ("path", pa.string()), ("start", pa.int64()), ("nth", pa.int64()), ("opens", pa.bool_()), ("fragment", pa.binary())])
 
 
-def _parts(spark: SparkSession, path: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Records in one piece, and segments with the records across borders, few of both, which are saved."""
-    stretches = _stretches(spark, path)
-    few = scratch.save(stretches.filter("segment IS NOT NULL OR fragment IS NOT NULL"), "few")
+def _parts(spark: SparkSession, path: str, scratch: Scratch, decode: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records in one piece (``decode``: their payloads), and segments with the records across borders, few of both, which are saved."""
+    few = scratch.save(_stretches(spark, path, few=True), "few")
     columns = [f.name for f in _ARROW_RAW]
-    return stretches.filter("segment IS NULL AND fragment IS NULL").select(*columns), few.filter("fragment IS NULL").select(*columns).unionByName(_mended(few.filter("fragment IS NOT NULL")))
+    return _stretches(spark, path, few=False, decode=decode).select(*columns), few.filter("fragment IS NULL").select(*columns).unionByName(_mended(few.filter("fragment IS NOT NULL")))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -243,6 +253,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 _WHOLE = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary"
 
 
+def _payload(r: dict, block: bytes) -> bytes:
+    """The decoded payload of a record, held against the digest it states."""
+    payload = http_payload(block) if r["record_type"] == "response" else block
+    said = r["payload_digest"]
+    if r["record_type"] == "response" and said and said.startswith("sha1:") and said[5:] != sha1_base32(payload):
+        raise ValueError(f"{r['record_id']} has another digest than it says")
+    return payload
+
+
 def _assembled(r: dict) -> tuple[dict, int]:
     """A record with its decoded payload, and how often it is there."""
     segments: dict[int, bytes] = {}
@@ -255,11 +274,7 @@ def _assembled(r: dict) -> tuple[dict, int]:
     block = b"".join(segments[n] for n in sorted(segments))
     if len(segments) > 1 and r["total"] != len(block):
         raise ValueError(f"{r['record_id']} has {len(block)} bytes, not {r['total']}")
-    payload = http_payload(block) if r["record_type"] == "response" else block
-    said = r["payload_digest"]
-    if r["record_type"] == "response" and said and said.startswith("sha1:") and said[5:] != sha1_base32(payload):
-        raise ValueError(f"{r['record_id']} has another digest than it says")
-    return {k: r[k] for k in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")} | {"payload": payload}, copies
+    return {k: r[k] for k in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")} | {"payload": _payload(r, block)}, copies
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -267,8 +282,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A group here is one record's segments, so its size is that record's.
     """
-    alone, raw = _parts(spark, path, Scratch(spark, "warc-read"))
-    whole = alone.unionByName(raw.filter("segment IS NULL")).select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", F.array(F.struct(F.lit(1).alias("n"), F.col("block").alias("b"))).alias("parts"), F.lit(None).cast("long").alias("total"))
+    alone, raw = _parts(spark, path, Scratch(spark, "warc-read"), decode=True)
+    alone = alone.select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", F.col("block").alias("payload"))
+    mended = raw.filter("segment IS NULL").select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", F.array(F.struct(F.lit(1).alias("n"), F.col("block").alias("b"))).alias("parts"), F.lit(None).cast("long").alias("total"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     parts = raw.filter("segment IS NOT NULL").groupBy("origin").agg(*(first(c) for c in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")), F.collect_list(F.struct(F.col("segment").alias("n"), F.col("block").alias("b"))).alias("parts"), F.max("total").alias("total")).drop("origin")
 
@@ -284,12 +300,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     out, held = [], 0
         yield pa.RecordBatch.from_pylist(out, _ARROW_WHOLE)
 
-    return whole.unionByName(parts).mapInArrow(assemble, _WHOLE)
+    return alone.unionByName(mended.unionByName(parts).mapInArrow(assemble, _WHOLE))
 
 
 _ARROW_WHOLE = pa.schema([*((n, pa.string()) for n in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to")), ("payload", pa.binary())])
 
 
+def _bytes_under(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write ``pages`` to the shared folder, read the archives back, resolve revisits: a row per record."""
     spark = pages.sparkSession
@@ -298,7 +319,8 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     write_warc(pages, path, **options)
     id_of = lambda c: F.expr(f"try_cast(split_part({c}, ':', 3) AS bigint)")
     found = read_warc(spark, path)
-    read = scratch.save(found.select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.expr("substring(payload_digest, 6)").alias("payload_digest")), "read")
+    found = found.select("record_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.expr("substring(payload_digest, 6)").alias("payload_digest"))
+    read = scratch.save(found.repartition(1 + _bytes_under(spark, path) // ARCHIVE_BYTES_PER_FILE), "read")
     responses = read.filter("record_type = 'response'")
     targets = responses.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("target_digest"))
     revisits = read.filter("record_type = 'revisit'").drop("payload_bytes").join(targets, "refers_to", "left")

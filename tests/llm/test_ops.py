@@ -343,6 +343,28 @@ def test_warc_round_trip_with_segments_and_heads(spark, tmp_path):
     assert warc.read_records(spark, str(tmp_path / "w")).filter("record_type = 'continuation'").count() > 10
 
 
+def test_warc_batches_and_files_stay_small(spark, monkeypatch):
+    """Pages go to the workers in small batches, and what many tasks read from the archive makes few files."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, text = [], DataFrameWriter.text
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, *a, **b: (seen.append([spark.conf.get(n) for n in names]), text(self, *a, **b))[1])
+    rows = [(i, "u", f"{i % 150} " * 300) for i in range(200)]
+    before = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", *names)}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        out = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    finally:
+        for n in list(before)[:2]:
+            spark.conf.set(n, before[n])
+    assert seen == [["4m", "512"]] and [spark.conf.get(n) for n in names] == [before[n] for n in names]
+    assert len(out.inputFiles()) == 1
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out.collect())
+    assert got == [(i, len(h), warc.sha1_base32(h.encode()), *(("response", None) if i < 150 else ("revisit", i - 150))) for i, _, h in rows]
+
+
 def test_warc_faults_are_found(spark, tmp_path):
     assert warc.dechunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
     for bad in (b"5\r\nabc\r\n0\r\n\r\n", b"3"):
