@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: While a table is saved: shuffle files go as soon as it has been written, and batches sent to Python stay small.
 _SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Once the driver's heap has been grown beyond this share of its limit, garbage is collected after each saved table.
+GROWN_HEAP = 0.4
 
 
 @contextmanager
@@ -76,6 +78,9 @@ class Scratch:
         path = f"{self.root}/{name}"
         with _settings(self.spark, _SAVING):
             df.write.mode("overwrite").options(**{"parquet.block.size": str(32 << 20)} | options).partitionBy(*partition_by).parquet(path)
+        runtime = self.spark.sparkContext._jvm.Runtime.getRuntime()
+        if runtime.totalMemory() > GROWN_HEAP * runtime.maxMemory():
+            self._collect()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -83,6 +88,9 @@ class Scratch:
         collecting it keeps the driver's memory near what it holds."""
         for name in names:
             self._remove(f"{self.root}/{name}".rstrip("/"))
+        self._collect()
+
+    def _collect(self) -> None:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, on DataFrames of links.
 
 A node with very many links is never gathered: each step takes the minimum of a node's neighbours by a map-side
-aggregation and joins it back, a row per link. Every round is written to the shared folder, which cuts the lineage.
+aggregation and joins it back, a row per link. Every round is written to the shared folder, which cuts the lineage, and
+its links are counted and hashed while they are written: a round is one query.
 
 Defined cases
   links of a node with itself and links with a null end: no rows; repeated and turned links: as one; no links: empty result.
@@ -9,22 +10,24 @@ Defined cases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .base import Scratch
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _saved(links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, tuple]:
+    """The saved links, and how many they are with the sum of their hashes."""
+    seen = Observation()
+    state = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("h")
+    saved = scratch.save(links.observe(seen, *state), name)
+    return saved, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable, for every id in ``links`` (a, b: long)."""
     ordered = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    now = scratch.save(ordered, f"{name}-0")
-    state = _state(now)
+    now, state = _saved(ordered, scratch, f"{name}-0")
     for n in range(1, max_rounds + 1):
         if state[0] == 0:
             break
@@ -34,8 +37,7 @@ def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int =
         # Small star: a node and its smaller neighbours join the smallest of them.
         least = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
         small = large.join(least, F.col("hi") == F.col("node")).select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("x")).select("x.hi", "x.lo").filter("hi <> lo").distinct()
-        now = scratch.save(small, f"{name}-{n}")
-        after = _state(now)
+        now, after = _saved(small, scratch, f"{name}-{n}")
         scratch.drop(f"{name}-{n - 1}")
         if after == state:
             break
