@@ -8,7 +8,7 @@ need Python are Arrow functions (``pyfuncs``), named ``loom_...``.
 from __future__ import annotations
 
 INF = "CAST('Infinity' AS DOUBLE)"
-#: The standard error of approx_distinct's sketch where none is given.
+#: The standard error of approx_distinct's sketch over windows where none is given.
 SKETCH_ERROR = "0.01D"
 
 
@@ -133,14 +133,21 @@ ARRAY = {
     "contains_sequence": "(size({1}) = 0 OR (size({0}) >= size({1}) AND exists(sequence(1, greatest(size({0}) - size({1}) + 1, 1)), i -> slice({0}, i, size({1})) = {1})))",
 }
 
+# Exact, as in the reference, and within any error that a second argument allows. A sketch beside a DISTINCT aggregate would be
+# kept once for each distinct value: Spark first groups by those.
+_EXACT_DISTINCT = "count(DISTINCT {0})"
 AGGREGATE = {
     "var": "var_samp({0})", "arbitrary": "any_value({0}, true)", "any_value": {1: "any_value({0}, true)"}, "geometric_mean": "exp(avg(CASE WHEN {0} > 0 THEN ln({0}) END))",
     "checksum": "coalesce(bit_xor({0}), 0)", "bitwise_and_agg": "bit_and({0})", "bitwise_or_agg": "bit_or({0})", "bitwise_xor_agg": "coalesce(bit_xor({0}), 0)",
     "group_concat": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"}, "string_agg": {1: "listagg({0}, ',')", 2: "listagg({0}, {1})"}, "listagg": {1: "listagg({0}, ',')"},
     "kurtosis": "CASE WHEN count({0}) >= 4 THEN kurtosis({0}) END", "skewness": "CASE WHEN count({0}) >= 3 THEN skewness({0}) END",
-    "approx_distinct": {1: f"approx_count_distinct({{0}}, {SKETCH_ERROR})", 2: "approx_count_distinct({0}, {1})"}, "approx_count_distinct": {1: f"approx_count_distinct({{0}}, {SKETCH_ERROR})"}, "approx_percentile": {1: "CAST(percentile_approx({0}, 0.5D, 1000000) AS DOUBLE)", 2: "CAST(percentile_approx({0}, {1}, 1000000) AS DOUBLE)"},
+    "approx_distinct": {1: _EXACT_DISTINCT, 2: _EXACT_DISTINCT}, "approx_count_distinct": {1: _EXACT_DISTINCT, 2: _EXACT_DISTINCT}, "approx_percentile": {1: "CAST(percentile_approx({0}, 0.5D, 1000000) AS DOUBLE)", 2: "CAST(percentile_approx({0}, {1}, 1000000) AS DOUBLE)"},
 }
 
+_SKETCHED_DISTINCT = {1: f"approx_count_distinct({{0}}, {SKETCH_ERROR})", 2: "approx_count_distinct({0}, {1})"}
+#: Before OVER: Spark has no DISTINCT in windows.
+WINDOWED: dict[str, dict[int, str]] = {"approx_distinct": _SKETCHED_DISTINCT, "approx_count_distinct": _SKETCHED_DISTINCT}
+
 MACROS: dict[str, str | dict[int, str]] = MATH | STRING | DATE | OTHER | ARRAY | AGGREGATE
 
 #: Refused by name: there is no public Spark expression for them and the reference has none either.

@@ -91,3 +91,12 @@ def test_integer_division(spark):
     assert (float(row["c"]), row["d"], row["e"], float(row["i"]), row["s"]) == (3.5, 3.5, 3.5, 3.5, "7/2")
     assert e.sql("SELECT sum(id) / count(*) AS m FROM range(4) WHERE id / 2 = 1 OR id IN (SELECT id / 3 FROM range(3))").first()["m"] == 5 // 3
     assert e.sql("WITH t AS (SELECT id / 2 AS h FROM range(6)) SELECT h, count(*) AS n FROM t GROUP BY h ORDER BY h").collect() == [(0, 2), (1, 2), (2, 2)]
+
+
+def test_approx_distinct_keeps_no_sketch_for_each_distinct_value(spark):
+    e = Engine(spark)
+    df = e.sql("SELECT approx_distinct(id % 3000) AS a, approx_distinct(id % 3000, 0.02) AS b, approx_count_distinct(id) FILTER (WHERE id < 5000) AS c, count(DISTINCT id % 7) AS d FROM range(20000)")
+    assert df.first() == (3000, 3000, 5000, 7)
+    assert "approx_count_distinct" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    over = e.sql("SELECT DISTINCT approx_distinct(id % 5) OVER (PARTITION BY id % 2) AS a FROM range(100)")
+    assert over.collect() == [(5,)]
