@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import pyfuncs
 from .operators import vector
+from .plans.counts import counted_apart
 from .plans.dialect import tokens, translate
 from .plans.division import integer_divisions
 from .plans.percentile import exact_percentiles
@@ -89,7 +90,8 @@ class Engine:
             text, df = plain, self.spark.sql(plain)  # a NOT IN whose subquery refers to the query around it
         while (turned := integer_divisions(df, text, tokens(text))) is not None:
             text, df = turned, self.spark.sql(turned)
-        return df
+        counted = counted_apart(df)
+        return df if counted is None else counted
 
     # vectors
 
