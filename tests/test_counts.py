@@ -63,3 +63,14 @@ def test_no_row_for_each_pair(spark):
     assert sorted(map(tuple, df.collect())) == [(0, 10_000_000), (1, 10_000_000)]
     plan = df._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("Aggregate") == 3
+
+
+def test_salted_count_joins_no_pairs(spark, monkeypatch):
+    from loomspan.operators import shapes
+    from loomspan.plans import frames
+
+    joined = []
+    monkeypatch.setattr(frames.shapes, "salted_join", lambda *a, real=shapes.salted_join: joined.append(real(*a)) or joined[-1])
+    folder = "/root/testdata/sf0.01"
+    pairs = sum(r["n"] for r in frames.salted(spark, folder).collect())
+    assert joined[0].count() <= spark.read.parquet(f"{folder}/customer.parquet").count() < pairs
